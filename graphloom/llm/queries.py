@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .common import read_table
+from .pii import pii_report
 from .simhash import simhash_components
 
 
@@ -14,6 +16,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(quality.ledger(read_table(spark, sf_dir, "documents")))
 
-ORACLES: dict[str, str] = {}
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
+    "op7_pii": op7_pii,
+}
+
+ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
