@@ -56,7 +56,10 @@ def ball(width: int, radius: int) -> list[int]:
 
 
 def _variants(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """``key, fp``: all variants of each block of a fingerprint within half of the block's share of the radius."""
+    """``key, fp``: all variants of each block of a fingerprint within half of the block's share of the radius.
+
+    The number of the block stands above the bits of the block in the key.
+    """
     width = 64 // blocks
     masks = ball(width, ceil((radius // blocks) / 2))
     low = (1 << width) - 1 if width < 64 else -1
@@ -65,8 +68,8 @@ def _variants(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
     parts = []
     for block in range(blocks):
         part = F.shiftrightunsigned("fp", width * block).bitwiseAND(F.lit(low)) if blocks > 1 else F.col("fp")
-        key = part.bitwiseXOR(F.col("mask"))
-        parts.append(fps.select("fp", mask).select(F.lit(block).alias("block"), key.alias("key"), "fp"))
+        key = part.bitwiseXOR(F.col("mask")).bitwiseOR(F.lit(block << width).cast("long")) if blocks > 1 else part.bitwiseXOR(F.col("mask"))
+        parts.append(fps.select("fp", mask).select(key.alias("key"), "fp"))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -105,13 +108,12 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 2, small: int = 512) ->
     """
     if blocks == 1:
         return _ball_stars(fps, radius)
-    keyed = _variants(fps, radius, blocks)
-    size = keyed.groupBy("block", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    size = stage_table(size, "ball")
+    keyed = _variants(fps, radius, blocks).repartition("key")
+    size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = stage_table(keyed.join(size, "key"), "ball-crowded")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = size.where("n = 2").where(near).select("a", "b")
-    crowded = stage_table(keyed.join(size.where("n > 2").select("block", "key", "n"), ["block", "key"]), "ball-crowded")
-    few = crowded.where(F.col("n") <= small).groupBy("block", "key").agg(F.collect_list("fp").alias("members"))
+    pairs = crowded.where("n = 2").groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(near).select("a", "b")
+    few = crowded.where((F.col("n") > 2) & (F.col("n") <= small)).groupBy("key").agg(F.collect_list("fp").alias("members"))
     few = few.select(F.explode(_stars(radius)("members")).alias("e")).select("e.a", "e.b")
     many = crowded.where(F.col("n") > small).select("fp").distinct()
     return pairs.union(few).union(_ball_stars(many, radius)).distinct()
