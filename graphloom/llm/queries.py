@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality
 from .common import read_table
+from .html import extract
+from .license import scan_licenses
 from .pii import pii_report
 from .simhash import simhash_components
+from .warc import archive_round_trip
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(quality.ledger(read_table(spark, sf_dir, "documents")))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +42,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
+    "op4_html": op4_html,
+    "op5_warc": op5_warc,
+    "op6_license": op6_license,
     "op7_pii": op7_pii,
 }
 
