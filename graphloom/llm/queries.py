@@ -10,6 +10,7 @@ from . import quality
 from .common import read_table
 from .html import extract
 from .license import scan_licenses
+from .packing import pack
 from .pii import pii_report
 from .simhash import simhash_components
 from .warc import archive_round_trip
@@ -39,6 +40,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_license": op6_license,
     "op7_pii": op7_pii,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
