@@ -13,6 +13,7 @@ from .license import scan_licenses
 from .packing import pack
 from .pii import pii_report
 from .simhash import simhash_components
+from .suffix import remove_repeats
 from .warc import archive_round_trip
 
 
@@ -44,6 +45,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license": op6_license,
     "op7_pii": op7_pii,
     "op9_packing": op9_packing,
+    "op10_suffix": op10_suffix,
 }
 
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
