@@ -14,6 +14,7 @@ from .packing import pack
 from .pii import pii_report
 from .simhash import simhash_components
 from .suffix import remove_repeats
+from .toxicity import toxicity
 from .warc import archive_round_trip
 
 
@@ -41,6 +42,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_license": op6_license,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_suffix": op10_suffix,
 }
