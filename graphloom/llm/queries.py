@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality
 from .common import read_table
+from .decontam import leaks
 from .html import extract
 from .license import scan_licenses
 from .packing import pack
@@ -22,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(quality.ledger(read_table(spark, sf_dir, "documents")))
 
@@ -56,6 +61,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_decontam": op2_decontam,
     "op3_quality": op3_quality,
     "op4_html": op4_html,
     "op5_warc": op5_warc,
