@@ -125,11 +125,13 @@ def ablations(book: DataFrame, policy: str = LATEST) -> DataFrame:
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: str = LATEST) -> DataFrame:
     """``docs`` that a policy keeps, columns unchanged.
 
-    The verdict is computed beside the row it judges, so no join or shuffle is needed: the row travels as a struct.
+    The verdict is computed beside the row it judges, so no join or shuffle is needed: the row travels as a struct. The
+    filter also tests a row number, which is always true but not deterministic, so the optimizer cannot push the filter
+    down and thereby expand the measurements' expressions into one another.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
-    kept = judge(ledger(whole, "_row", "_text"), policy).where("kept").select(F.col("doc_id").alias("_row"))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    book = judge(ledger(whole, "_row", "_text"), policy).select(F.col("doc_id").alias("_row"), "kept", F.monotonically_increasing_id().alias("_n"))
+    return book.where(F.col("kept") & (F.col("_n") >= 0)).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 #: DuckDB: the same ledger and verdict, from windows and unnested words.
