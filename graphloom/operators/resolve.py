@@ -43,16 +43,16 @@ def resolve_calls(symbols: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     sites = symbols.where(F.col("kind").isin(*CALLABLE_KINDS)).select(
         F.col("id").alias("src_id"), F.col("file_path").alias("src_file"), F.col("language").alias("src_lang"), F.explode(F.array_except(names, F.array(*[F.lit(w) for w in STOP_CALLS]))).alias("name")
     )
-    targets = symbols.where(F.col("kind").isin(*CALLABLE_KINDS, "class")).select(F.col("id").alias("dst_id"), "name", F.col("file_path").alias("dst_file"), F.col("language").alias("dst_lang"))
-    # per name and language, how many targets there are: beyond the guard only same-file pairs can survive
-    count = targets.groupBy("name", "dst_lang").agg(F.count("*").alias("n_all"))
-    same = sites.join(targets, (sites["name"] == targets["name"]) & (sites["src_file"] == targets["dst_file"]) & (sites["src_lang"] == targets["dst_lang"]))
-    same = same.where("src_id <> dst_id").select("src_id", "dst_id", F.lit("calls").alias("kind"), F.lit(SAME_FILE).alias("confidence"))
-    local = targets.groupBy("name", "dst_lang", "dst_file").agg(F.count("*").alias("n_here"))
-    few = sites.join(count, (sites["name"] == count["name"]) & (sites["src_lang"] == count["dst_lang"])).select(sites["*"], "n_all")
-    few = few.join(local, (few["name"] == local["name"]) & (few["src_lang"] == local["dst_lang"]) & (few["src_file"] == local["dst_file"]), "left")
-    few = few.where(F.col("n_all") - F.coalesce("n_here", F.lit(0)) <= fan_out).select(few["src_id"], few["src_file"], few["src_lang"], few["name"])
-    cross = few.join(targets, (few["name"] == targets["name"]) & (few["src_lang"] == targets["dst_lang"]) & (few["src_file"] != targets["dst_file"]))
+    targets = symbols.where(F.col("kind").isin(*CALLABLE_KINDS, "class")).select(F.col("id").alias("dst_id"), F.col("name").alias("t_name"), F.col("file_path").alias("dst_file"), F.col("language").alias("dst_lang"))
+    called = (F.col("name") == F.col("t_name")) & (F.col("src_lang") == F.col("dst_lang"))
+    same = sites.join(targets, called & (F.col("src_file") == F.col("dst_file"))).where("src_id <> dst_id")
+    same = same.select("src_id", "dst_id", F.lit("calls").alias("kind"), F.lit(SAME_FILE).alias("confidence"))
+    # per name and language, how many targets there are in all and in the caller's file: their difference is guarded
+    everywhere = targets.groupBy(F.col("t_name").alias("name"), F.col("dst_lang").alias("src_lang")).agg(F.count("*").alias("n_all"))
+    here = targets.groupBy(F.col("t_name").alias("name"), F.col("dst_lang").alias("src_lang"), F.col("dst_file").alias("src_file")).agg(F.count("*").alias("n_here"))
+    few = sites.join(everywhere, ["name", "src_lang"]).join(here, ["name", "src_lang", "src_file"], "left")
+    few = few.where(F.col("n_all") - F.coalesce("n_here", F.lit(0)) <= fan_out)
+    cross = few.join(targets, called & (F.col("src_file") != F.col("dst_file")))
     cross = cross.select("src_id", "dst_id", F.lit("calls").alias("kind"), F.lit(CROSS_FILE).alias("confidence"))
     return _best(same.unionByName(cross))
 
@@ -72,7 +72,7 @@ def resolve_oop(symbols: DataFrame) -> DataFrame:
     colon = F.regexp_replace(F.regexp_extract(head, r"(?s):(.*)$", 1), r"(?s)\bwhere\b.*$", "")
 
     def named(part: Column, word: str) -> Column:
-        entries = F.transform(F.split(part, ","), lambda e: F.element_at(F.regexp_extract_all(e, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), -1))
+        entries = F.transform(F.split(part, ","), lambda e: F.try_element_at(F.regexp_extract_all(e, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lit(-1)))
         return F.transform(F.filter(entries, lambda e: e.isNotNull()), lambda e: F.struct(e.alias("base"), F.lit(word).alias("word")))
 
     listed = F.when(F.col("language") == "java", F.concat(named(extends, "extends"), named(implements, "implements"))).otherwise(named(colon, "colon"))
@@ -101,7 +101,7 @@ def resolve_config(symbols: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     pool = integration_candidates(symbols)
     parts = F.filter(F.transform(F.split("name", r"\."), lambda s: F.regexp_replace(s, r"\[.*$", "")), lambda s: F.trim(s) != "")
     full = F.trim(F.array_join(parts, "."))
-    last = F.trim(F.element_at(F.split(full, r"\."), -1))
+    last = F.trim(F.try_element_at(F.split(full, r"\."), F.lit(-1)))
     keys = pool.where(F.col("kind").isin("var", "const") & F.col("language").isin("yaml", "toml"))
     keys = keys.select(F.col("id").alias("dst_id"), F.explode(F.filter(F.array_distinct(F.array(full, last)), lambda v: v != "")).alias("lit"))
     readers = pool.where(~_is_artifact()).select(F.col("id").alias("src_id"), F.explode(F.filter(_literals(), lambda v: v != "")).alias("lit"))
