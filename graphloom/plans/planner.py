@@ -67,7 +67,7 @@ def build_batch(snapshot: Snapshot, files: DataFrame, reason: str = "reconcile",
     old, edges, cache = snapshot.table("symbol"), snapshot.table("edge"), snapshot.table("file")
     has = old.select(F.col("file_path").alias("path")).distinct().withColumn("has_symbols", F.lit(True))
     known = cache.join(has, "path", "left").withColumn("has_symbols", F.coalesce("has_symbols", F.lit(False)))
-    tree = files.withColumn("blank", F.length(F.trim(F.decode(F.col("content"), "UTF-8"))) == 0)
+    tree = files.withColumn("blank", ~F.col("content").cast("string").rlike(r"\S"))
     plan = plan_changes(tree, known, touched).cache()
     index, gone = plan.where("action = 'index'").select("path"), plan.where("action = 'delete'").select("path")
     parsed = extract_symbols(files.join(index, "path", "left_semi")).cache()

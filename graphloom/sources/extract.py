@@ -11,7 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -452,18 +452,16 @@ def symbol_rows(path: str, data: bytes | None) -> list[dict]:
     return out
 
 
-_COLUMNS = [x.split()[0] for x in SYMBOLS.split(", ")]
+_KINDS = {"string": pa.string(), "int": pa.int32()}
+_ARROW = pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in SYMBOLS.split(", "))])
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
     """Parse ``files(path, content)``: one status row a file (null id) and one row a symbol."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in symbol_rows(p, bytes(c) if c is not None else None)]
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in ("line_start", "line_end"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(symbol_rows(path, content), schema=_ARROW)
 
-    return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, SYMBOLS)
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, SYMBOLS)

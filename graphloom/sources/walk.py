@@ -48,7 +48,7 @@ def pruned(path: Column, ignored: tuple[str, ...] = IGNORED_DIRS) -> Column:
 def walk(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED_DIRS) -> DataFrame:
     """``path, language, content, size_bytes, content_hash`` of admitted files under ``root``.
 
-    Path filters apply to the file listing, so contents of other files are not read.
+    Path filters apply before contents are decoded. Files of zero bytes are not listed by the binary reader.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
