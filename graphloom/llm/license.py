@@ -40,6 +40,9 @@ TEMPLATES: dict[str, str] = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+#: A template is tried in texts that hold the first words of its longest fixed wording.
+KEY_WORDS = 4
+
 _MARK = re.compile(r"\[\[|\]\]|\{\{(\w+):(.*?):(\d+)-(\d+)\}\}|[^\s\[\]{}]+")
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
 
@@ -94,7 +97,7 @@ def compile_template(label: str, template: str) -> Automaton:
             run = [*run, token] if not opened else []
             best = max(best, run, key=len)
     a.final = now
-    a.key = " ".join(best).encode()
+    a.key = " ".join(best[:KEY_WORDS]).encode()
     for s in _closure(a, [0]):
         a.starts.update(m for m, *_ in a.steps[s] if isinstance(m, bytes))
     return a
@@ -176,7 +179,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: phrase places and labels, the labels of accepted templates, their word spans and a score.
 
     ``score`` is 1 if a template's mandatory wording matches exactly, else the largest share of a template's mandatory
-    words that a run from one of its starting words matches (of templates whose longest fixed wording occurs). Null and
+    words that a run from one of its starting words matches (of templates whose key, the first words of their longest
+    fixed wording, occurs). Null and
     empty texts have no word, null positions, empty labels and score 0; null ids pass through; other columns are ignored.
     """
 
