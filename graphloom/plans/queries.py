@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -637,6 +638,22 @@ def latest_wins(spark, d):
     return coalesce.latest_wins(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
+@query("stream_latest_wins", ORACLES["latest_wins"])
+def stream_latest_wins(spark, d):
+    """The events as a file stream, drained by micro-batches into a table of partial winners, then merged."""
+    folder = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+
+    def merge(batch, number):
+        last = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"), F.count("*").alias("n"))
+        last.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")  # a repeated batch overwrites itself
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    return rows.groupBy("user_id").agg(F.max("last").alias("l"), F.sum("n").alias("n_events")).select("user_id", F.col("l.event_type").alias("event_type"), "n_events")
+
+
 @query(
     "overflow",
     "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN count(DISTINCT user_id) > 100 THEN 1 ELSE count(DISTINCT user_id) END AS depth, count(DISTINCT user_id) > 100 AS reconcile FROM events GROUP BY 1",
