@@ -116,11 +116,23 @@ def tfidf_index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def tfidf_search(docs: DataFrame, id_col: str, text_col: str, query: str, k: int = 10) -> DataFrame:
-    """``id, score``: sum of qf * tf * idf^2 over the document norm, positive scores only, ties by id."""
+    """``id, score``: sum of qf * tf * idf^2 over the document norm, positive scores only, ties by id.
+
+    Document frequencies come from one pass over the corpus; counts and norms only from documents that can match (a
+    token is a piece of the lower-case text, so a substring test picks them before any tokenizing).
+    """
     spark = docs.sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(camel_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qf"))
-    post, idf, norms = tfidf_index(docs, id_col, text_col)
-    hit = post.join(F.broadcast(asked), "term").join(idf, "term")  # as many rows as the query has terms
-    raw = hit.groupBy("id").agg(F.sum(F.col("qf") * F.col("tf") * F.col("idf") * F.col("idf")).alias("raw"))
-    scored = raw.join(norms, "id").select("id", (F.col("raw") / F.col("norm")).alias("score")).where("score > 0")
+    words = [r["term"] for r in asked.select("term").collect()]  # the query's own words
+    n = docs.select(F.count("*").alias("n_docs"))
+    df = docs.select(F.explode(F.array_distinct(camel_tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    low, may = F.lower(text_col), F.lit(False)
+    for w in words:
+        may = may | F.contains(low, F.lit(w))
+    counts = postings(docs.where(may), id_col, text_col, camel_tokens)
+    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))  # n is one row
+    weighted = counts.join(idf, "term").join(F.broadcast(asked), "term", "left")  # as many rows as the query has words
+    w = F.col("tf") * F.col("idf")
+    scored = weighted.groupBy("id").agg(F.sum(F.col("qf") * w * F.col("idf")).alias("raw"), F.sqrt(F.sum(w * w)).alias("norm"))
+    scored = scored.where("raw > 0").select("id", (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k)
