@@ -108,3 +108,67 @@ def golden_queries(rows: list[dict]) -> list[tuple[str, str, str]]:
             if isinstance(q, dict) and isinstance(q.get("q"), str):
                 out += [(q["q"], r[0], r[1]) for r in q.get("relevant", []) if isinstance(r, list | tuple) and len(r) == 2]
     return out
+
+
+def golden_edges(doc: dict) -> tuple[bool, list[tuple[str, str, str, str]]]:
+    """``complete`` and ``src name, src path, dst name, dst path`` rows of a golden edge set; malformed rows are skipped."""
+    rows = []
+    for e in doc.get("edges", []):
+        pair = [e.get(k) for k in ("src", "dst")] if isinstance(e, dict) else []
+        if len(pair) == 2 and all(isinstance(x, list | tuple) and len(x) == 2 for x in pair):
+            rows.append((*pair[0], *pair[1]))
+    return bool(doc.get("complete")), rows
+
+
+def golden_pairs(symbols: DataFrame, rows: DataFrame) -> DataFrame:
+    """``gid, src_id, dst_id``: every resolved source with every resolved target of one golden row.
+
+    ``rows(gid, src_name, src_path, dst_name, dst_path)``; a label is a name and a part of the normalized path, so a row
+    resolves to few symbols and the product stays inside it.
+    """
+    path = F.lower(F.replace("file_path", F.lit("\\"), F.lit("/")))
+    known = symbols.select("id", "name", path.alias("path"))
+
+    def side(end: str) -> DataFrame:
+        named = rows.select("gid", F.col(f"{end}_name").alias("name"), F.col(f"{end}_path").alias("part"))
+        return named.join(known, "name").where(F.contains("path", "part")).select("gid", F.col("id").alias(f"{end}_id"))
+
+    return side("src").join(side("dst"), "gid").distinct()
+
+
+def evaluate_golden(symbols: DataFrame, edges: DataFrame, rows: DataFrame, complete: bool) -> DataFrame:
+    """One row of edge metrics against a golden set; found edges count only from golden sources, and precision is null
+    unless the set says it is complete."""
+    pairs = golden_pairs(symbols, rows).select("src_id", "dst_id").distinct()
+    missing = F.coalesce(F.col("meta.dst_missing"), F.lit(False)) if "meta" in edges.columns else F.lit(False)
+    found = edges.where(~missing).select("src_id", "dst_id").join(pairs.select("src_id").distinct(), "src_id", "left_semi")
+    m = edge_set_metrics(found, pairs)
+    return m if complete else m.withColumn("precision", F.lit(None).cast("double")).withColumn("f1", F.lit(None).cast("double"))
+
+
+def reach_recall(edges: DataFrame, golden: DataFrame, depth: int) -> DataFrame:
+    """One row: the share of golden ``src_id, dst_id`` pairs (repeats count) whose target is within ``depth`` hops.
+
+    All sources advance together: a level is one join of the frontier with the edges, and pairs already reached stop.
+    """
+    arcs = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).where("a <> b").distinct()
+    reached = golden.select("src_id", F.col("src_id").alias("at")).distinct()
+    frontier = reached
+    for _ in range(depth):
+        step = frontier.join(arcs, frontier["at"] == arcs["a"]).select("src_id", F.col("b").alias("at")).distinct()
+        frontier = step.join(reached, ["src_id", "at"], "left_anti")
+        reached = reached.unionByName(frontier)
+    hit = golden.join(reached.where("src_id <> at").withColumn("hit", F.lit(1)), (golden["src_id"] == reached["src_id"]) & (golden["dst_id"] == F.col("at")), "left")
+    return hit.agg(F.count("*").alias("n"), F.count("hit").alias("reached")).select("n", "reached", F.when(F.col("n") == 0, 0.0).otherwise(F.col("reached") / F.col("n")).alias("recall"))
+
+
+def structure_report(stats: dict, by_kind: dict[str, int], metrics: dict | None = None) -> tuple[str, str]:
+    """JSON and Markdown of one structure evaluation."""
+    import json
+
+    body = {"coverage": stats, "edges_by_kind": dict(sorted(by_kind.items())), "golden": metrics}
+    lines = ["# Structure report", "", "| measure | value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in stats.items())]
+    lines += ["", "| kind | edges |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in sorted(by_kind.items()))]
+    if metrics:
+        lines += ["", "| golden | value |", "| --- | --- |", *(f"| {k} | {'-' if v is None else v} |" for k, v in metrics.items())]
+    return json.dumps(body, sort_keys=True), "\n".join(lines) + "\n"

@@ -485,6 +485,32 @@ def edge_prf(spark, d):
     return m.select("tp", *[r(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(
+    "reach_recall",
+    f"""WITH e AS ({SMALL_SQL}), g AS (SELECT 'c:' || c_custkey AS s, 'r:' || (c_custkey % 5) AS t FROM customer),
+    p AS (SELECT DISTINCT a.src_id AS s, b.dst_id AS t FROM e a JOIN e b ON a.dst_id = b.src_id UNION SELECT src_id, dst_id FROM e)
+    SELECT count(*) AS n, count(p.s) AS reached, round(count(p.s) / count(*), 9) AS recall FROM g LEFT JOIN p ON p.s = g.s AND p.t = g.t""",
+)
+def reach_recall(spark, d):
+    golden = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("src_id"), F.concat(F.lit("r:"), (F.col("c_custkey") % 5).cast("string")).alias("dst_id"))
+    return E.reach_recall(small_edges(spark, d), golden, 2).select("n", "reached", r("recall", 9).alias("recall"))
+
+
+@query(
+    "golden_edges",
+    f"""WITH {_SYM}, {_CALLS}, g AS (SELECT * FROM (VALUES ('login', 'app/', 'verify', 'app/'), ('login', 'app/', 'audit', 'app/'), ('boot', 'jobs/', 'start', 'jobs/')) g(sn, sp, tn, tp)),
+    p AS (SELECT DISTINCT a.id AS s, b.id AS t FROM g JOIN symbol a ON a.name = sn AND contains(a.file_path, sp) JOIN symbol b ON b.name = tn AND contains(b.file_path, tp)),
+    f AS (SELECT DISTINCT src_id AS s, dst_id AS t FROM calls WHERE src_id IN (SELECT s FROM p)), c AS (SELECT (SELECT count(*) FROM f JOIN p USING (s, t)) AS tp, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM p) AS ng)
+    SELECT tp, round(tp / nf, 9) AS precision, round(tp / ng, 9) AS recall FROM c""",
+)
+def golden_edges(spark, d):
+    sym = S.symbols(spark)
+    doc = {"complete": True, "edges": [{"src": ["login", "app/"], "dst": ["verify", "app/"]}, {"src": ["login", "app/"], "dst": ["audit", "app/"]}, {"src": ["boot", "jobs/"], "dst": ["start", "jobs/"]}, {"src": 1}]}
+    complete, rows = E.golden_edges(doc)
+    golden = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "gid int, src_name string, src_path string, dst_name string, dst_path string")
+    return E.evaluate_golden(sym, resolve.resolve_calls(sym), golden, complete).select("tp", r("precision", 9).alias("precision"), r("recall", 9).alias("recall"))
+
+
 @query("parity_l1", f"WITH x AS ({_ppr_sql(2)}), y AS ({_ppr_sql(3)}) SELECT round(sum(abs(x.mass - y.mass)), 6) AS l1 FROM x JOIN y USING (id)")
 def parity_l1(spark, d):
     e = tree_edges(spark, d)

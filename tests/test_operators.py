@@ -15,7 +15,8 @@ from graphloom.functions import algebra as A
 from graphloom.functions import text as T
 from graphloom.operators import analysis, fusion, graph, impact, lexical, semantic
 from graphloom.plans import planner, samples
-from graphloom.sources import extract, store, walk
+from graphloom.operators.evaluate import structure_report
+from graphloom.sources import extract, lease, store, walk
 from graphloom.streaming.coalesce import WatcherQueue, coalesce_stream, latest_by_microbatch
 
 
@@ -241,6 +242,18 @@ def test_store(spark, tmp_path):
         s.publish(store.Batch(reason="because"))
 
 
+def test_lease_and_report(tmp_path):
+    now = [0.0]
+    a, b = (lease.Lease(f"{tmp_path}/l", 30, lambda: now[0]) for _ in range(2))
+    assert a.acquire() and not b.acquire() and a.acquire()
+    now[0] = 31
+    assert b.acquire() and not a.acquire()
+    b.release()
+    assert a.acquire()
+    js, md = structure_report({"n_nodes": 2}, {"reads": 1, "calls": 2}, {"recall": 0.5, "precision": None})
+    assert '"calls": 2' in js and "| calls | 2 |" in md and "| precision | - |" in md
+
+
 def test_queue(spark):
     q = spark.createDataFrame([("a", "f", 1, 0, 5, None), ("b", "f", 2, 4, 3, None), ("c", "g", 1, 0, 50, None)], store.TABLES["embedding_queue"])
     assert [r["symbol_id"] for r in planner.due(q, 10).collect()] == ["b", "a"]
