@@ -22,6 +22,12 @@ def plain_tokens(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where a small input has fewer splits than cores; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, tokenizer=plain_tokens) -> DataFrame:
     """``id, term, tf`` of every document and term."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(tokenizer(F.col(text_col))).alias("term"))
@@ -72,7 +78,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int = 8, to
     spark = docs.sparkSession
     if not clauses or k <= 0:
         return spark.createDataFrame([], f"id {dict(docs.dtypes)[id_col]}, score double")
-    tokens = docs.select(F.col(id_col).alias("id"), tokenizer(F.col(text_col)).alias("toks"))
+    tokens = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", tokenizer(F.col("t")).alias("toks"))
     size = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avg_len"))
 
     def has(words: list[str], prefix: bool):
@@ -124,6 +130,7 @@ def tfidf_search(docs: DataFrame, id_col: str, text_col: str, query: str, k: int
     spark = docs.sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(camel_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qf"))
     words = [r["term"] for r in asked.select("term").collect()]  # the query's own words
+    docs = spread(docs.select(id_col, text_col))
     n = docs.select(F.count("*").alias("n_docs"))
     df = docs.select(F.explode(F.array_distinct(camel_tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     low, may = F.lower(text_col), F.lit(False)
