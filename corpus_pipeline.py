@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each component of near-equal fingerprints."""
+    """One document, of the smallest id, of each group of texts whose five-word shingles are 0.8 alike or more."""
     return simhash.keep_first(docs)
 
 

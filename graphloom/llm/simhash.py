@@ -18,20 +18,22 @@ from .common import connected_components, stage_table
 SEED = 42
 
 
-def fingerprint_of(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash of one text: majority bit over the XXH64 values of its word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 values of the word shingles of one text in order; fewer words: of the whole sequence; none: empty."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        begins = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    values = np.array(hashes, np.uint64)
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.array([digest(joined[i:j], SEED) for i, j in spans], np.uint64)
+
+
+def fingerprint_of(text: str | None, shingle: int = 4) -> int:
+    """64-bit SimHash of one text: majority bit over the XXH64 values of its word shingles, repeats included."""
+    values = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
         block = values[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -153,8 +155,121 @@ def simhash_components(
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` without the members of a component other than the one with the smallest id (null ids stay)."""
-    groups = simhash_components(docs, id_col, text_col, shingle, radius)
+def _mixed(values: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th further 64-bit hash of each value: the finaliser of SplitMix64 over a shifted start."""
+    x = values + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & ((1 << 64) - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint_of(text: str | None, shingle: int = 5, words: int = 8) -> list[int]:
+    """SimHash of ``words`` times 64 bits over the set of word shingles, as unsigned words; all zero without a word."""
+    values = np.unique(shingle_hashes(text, shingle))
+    out = []
+    for k in range(words if len(values) else 0):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(values), 1 << 16):
+            block = _mixed(values[at : at + (1 << 16)], k).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.uint32)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big"))
+    return out or [0] * words
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """``doc_id, w0, w1, ...`` for every row."""
+    names = [f"w{k}" for k in range(words)]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [wide_fingerprint_of(t, shingle, words) for t in batch.column(1).to_pylist()]
+            values = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(words))], names=["doc_id", *names])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(each, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+
+
+def _segment_balls(nodes: DataFrame, segments: int, ball_radius: int) -> DataFrame:
+    """``key, node``: each 32-bit segment of a wide fingerprint emits every variant within ``ball_radius`` bits.
+
+    The number of the segment stands above its bits in the key.
+    """
+    halves = [F.shiftrightunsigned(f"w{s // 2}", 32 * (s % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(s << 32).cast("long")) for s in range(segments)]
+    masks = F.expr("explode(array(" + ",".join(f"{m}L" for m in ball(32, ball_radius)) + "))")
+    cut = nodes.select("node", F.explode(F.array(*halves)).alias("segment"))
+    return cut.select("node", "segment", masks.alias("mask")).select(F.col("segment").bitwiseXOR(F.col("mask")).alias("key"), "node")
+
+
+def near_links(nodes: DataFrame, words: int, segments: int, ball_radius: int, limit: int) -> DataFrame:
+    """``a, b``: links among ``nodes(node, w0, ...)`` that share a variant and differ in at most ``limit`` bits.
+
+    Buckets are worked off by leaders rather than by pairs. In each round the smallest open node of a bucket (later of
+    each of its lanes, so that few rounds are needed) leads: the bucket's other members become candidates with it, equal
+    candidates of different buckets are verified once, and linked members are no longer open. The next leaders meet all
+    members again, linked ones too. It ends when no bucket has an open node; every member has then led or is linked.
+    """
+    keyed = _segment_balls(nodes, segments, ball_radius).repartition("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a")
+    met = stage_table(keyed.join(shared, "key").where("node <> a").select("key", "a", F.col("node").alias("b")), "near-met")
+    turn, done, waiting, led = met, [], None, None
+    while True:
+        pairs = turn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stage_table(pairs, "near-pairs")
+        left = nodes.select(F.col("node").alias("a"), *(F.col(f"w{k}").alias(f"x{k}") for k in range(words)))
+        right = nodes.select(F.col("node").alias("b"), *(f"w{k}" for k in range(words)))
+        apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(1, words)), F.bit_count(F.col("w0").bitwiseXOR(F.col("x0"))))
+        near = stage_table(pairs.join(left, "a").join(right, "b").where(apart <= limit).select("a", "b"), "near-links")
+        done.append(near)
+        # Open members: not linked to a leader of this round, and not leaders themselves.
+        known = near.select(F.col("a").alias("p"), F.col("b").alias("q"))
+        low, high = F.least("a", "b"), F.greatest("a", "b")
+        tried = turn.select("key", "b", low.alias("p"), high.alias("q"))
+        if waiting is None:
+            state = tried.join(known, ["p", "q"], "left_anti").select("key", "b")
+        else:
+            linked = tried.join(known, ["p", "q"], "left_semi").select("key", "b").distinct()
+            state = waiting.join(led, ["key", "b"], "left_anti").join(linked, ["key", "b"], "left_anti")
+        waiting = stage_table(state, "near-open")
+        lanes = min(64, 4 ** len(done))
+        led = waiting.groupBy("key", F.pmod(F.xxhash64("b"), F.lit(lanes)).alias("lane")).agg(F.min("b").alias("b")).select("key", "b")
+        led = stage_table(led, "near-lead")
+        if led.isEmpty():
+            break
+        heads = led.select("key", F.col("b").alias("a"))
+        turn = stage_table(met.select("key", "b").join(heads, "key").where("a <> b"), "near-met")
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def near_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, segments: int = 8, ball_radius: int = 1, limit: int = 84
+) -> DataFrame:
+    """``doc_id, component_id`` for every row: texts whose five-word shingles are 0.8 alike or more share a component.
+
+    Fingerprints of ``64 * words`` bits are linked when at most ``limit`` bits differ (84 of 512 stand for a Jaccard
+    similarity of 0.77, one standard deviation below 0.8) and when one of the first ``segments`` 32-bit segments
+    differs in at most twice ``ball_radius`` bits, where balls of that radius meet. ``segments`` buys recall with
+    ``33 * segments`` variants a fingerprint; 32 bits keep chance meetings rare up to some ten million documents.
+    ``component_id`` is the smallest id reachable. Equal fingerprints are one node, so copies cost one row in the
+    shuffle. Null, empty and blank texts share the zero fingerprint. Rows of a null id keep it, link nothing, and take
+    the component of an equal fingerprint, else null. Repeated rows each appear; an id that comes with several texts
+    stands for the least of their fingerprints, the others' rows have a null component unless an equal text has one.
+    An empty table gives an empty result. Other columns are ignored, whatever their names.
+    """
+    names = [f"w{k}" for k in range(words)]
+    rows = stage_table(wide_fingerprints(docs, id_col, text_col, shingle, words), "near")
+    prints = rows.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node"))
+    nodes = stage_table(prints.groupBy("node").agg(F.min(F.struct(*names)).alias("w")).select("node", "w.*"), "near-nodes")
+    labels = connected_components(near_links(nodes, words, segments, ball_radius, limit), "near-cc")
+    of_print = stage_table(nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id")), "near-class")
+    return rows.join(of_print, names, "left").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
+    """``docs`` without the members of a near component other than the one with the smallest id (null ids stay)."""
+    groups = near_components(docs, id_col, text_col, **parameters)
     gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gl_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gl_gone"), "left_anti")

@@ -74,6 +74,70 @@ def test_simhash(spark, docs, corpus, blocks, small):
     assert got == {i: (f"{p:016x}", find(i)) for i, p in prints.items()}
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def near_brute(texts, limit=84, segments=8):
+    """Smallest reachable id over all pairs that share a segment up to two bits and differ in at most ``limit`` bits."""
+    prints = {i: simhash.wide_fingerprint_of(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b:
+                apart = [x ^ y for x, y in zip(prints[a], prints[b], strict=True)]
+                halves = [(apart[s // 2] >> 32 * (s % 2)) & 0xFFFFFFFF for s in range(segments)]
+                if sum(x.bit_count() for x in apart) <= limit and min(h.bit_count() for h in halves) <= 2:
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+    return {i: find(i) for i in texts}
+
+
+def test_near_components(spark):
+    """Against all pairs; the share of five-word near copies found; unrelated texts stay apart."""
+    rng = random.Random(5)
+    pool = [f"{w}{k}" for w in WORDS for k in range(40)]
+    texts = {k: " ".join(rng.choices(pool, k=rng.randint(60, 200))) for k in range(120)}
+    for k in range(120, 320):
+        words = texts[k % 60].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(pool)
+        texts[k] = " ".join(words)
+    for k in range(320, 420):  # a dense group of one hot text
+        words = texts[3].split()
+        words[rng.randrange(len(words))] = rng.choice(pool)
+        texts[k] = " ".join(words)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("w0", F.lit("x")).withColumn("node", F.lit(1))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(rows.repartition(3)).collect()}
+    assert got == near_brute(texts)
+    sets = {i: five_words(t) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(near) > 3000 and sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    assert all((got[a] == got[b]) <= (a % 60 == b % 60 or max(a, b) >= 320) for a in texts for b in texts if a < 320 and b < 320)
+
+
+def test_near_components_edges(spark):
+    rows = [(5, None), (2, " "), (None, "a b c"), (9, "A  b\nc"), (9, "A  b\nc"), (4, "x y"), (4, "p q r s t u v"), (7, "w " * 5000), (8, "w " * 4000), (None, None)]
+    found = simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["component_id"]) for r in found)
+    assert got[(5, 2)] == got[(2, 2)] == 1 and got[(None, 9)] == 1 and got[(9, 9)] == 2 and got[(None, 2)] == 1 and got[(7, 7)] == got[(8, 7)] == 1
+    assert sum(n for (i, _), n in got.items() if i == 4) == 2 and len(found) == len(rows)
+    assert simhash.near_components(empty(spark)).collect() == []
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "9", "9", "4", "4", "7", "None", "None"])
+
+
 def test_simhash_edges(spark):
     assert simhash.fingerprint_of(None) == simhash.fingerprint_of(" \t") == 0
     one = simhash.fingerprint_of("Only Three Words")
@@ -484,8 +548,9 @@ def test_pipeline(spark, tmp_path):
         now = common.stage_table(out, f"t-{name}")
         kept[name] = {r["doc_id"]: r["text"] for r in now.collect()}
     assert set(kept["quality"]) == {i for i, t in rows if brute_quality(t)[0] >= 50} - {23}
-    prints = {i: simhash.fingerprint_of(t) for i, t in kept["quality"].items()}
-    assert set(kept["near_dedup"]) == {i for i in prints if not any(j < i and (prints[i] ^ prints[j]).bit_count() <= 4 for j in prints)} and 20 not in kept["near_dedup"]
+    sets = {i: five_words(t) for i, t in kept["quality"].items()}
+    copies = {i for i in sets if any(j < i and jaccard(sets[i], sets[j]) >= 0.8 for j in sets)}
+    assert copies == {20, 21} and set(kept["near_dedup"]) == set(sets) - copies
     assert set(kept["decontaminate"]) == set(kept["near_dedup"]) - {22}
     assert "bob@" not in kept["pii"][25] and kept["pii"][2] == rows[2][1]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
