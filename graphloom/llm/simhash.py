@@ -201,17 +201,54 @@ def _segment_balls(nodes: DataFrame, segments: int, ball_radius: int) -> DataFra
     return cut.select("node", "segment", masks.alias("mask")).select(F.col("segment").bitwiseXOR(F.col("mask")).alias("key"), "node")
 
 
-def near_links(nodes: DataFrame, words: int, segments: int, ball_radius: int, limit: int) -> DataFrame:
-    """``a, b``: links among ``nodes(node, w0, ...)`` that share a variant and differ in at most ``limit`` bits.
+def _wide_stars(words: int, limit: int):
+    """Stars that connect what the pairs within ``limit`` bits of one bucket connect; a member is its node and its words."""
 
-    Buckets are worked off by leaders rather than by pairs. In each round the smallest open node of a bucket (later of
-    each of its lanes, so that few rounds are needed) leads: the bucket's other members become candidates with it, equal
-    candidates of different buckets are verified once, and linked members are no longer open. The next leaders meet all
-    members again, linked ones too. It ends when no bucket has an open node; every member has then led or is linked.
+    @F.pandas_udf("array<struct<a:long,b:long>>")
+    def stars(members: pd.Series) -> pd.Series:
+        out = []
+        for group in members:
+            x = np.asarray(group, np.int64).reshape(-1, 1 + words)
+            x = x[np.argsort(x[:, 0])]
+            prints, label = x[:, 1:].view(np.uint64), np.arange(len(x))
+            near = np.stack([np.bitwise_count(prints ^ one).sum(axis=1) <= limit for one in prints])
+            while True:
+                low = np.where(near, label[None, :], len(x)).min(axis=1)
+                low = low[low]
+                if (low == label).all():
+                    break
+                label = low
+            out.append([{"a": int(x[label[i], 0]), "b": int(x[i, 0])} for i in range(len(x)) if label[i] != i])
+        return pd.Series(out)
+
+    return stars
+
+
+def near_links(nodes: DataFrame, words: int, segments: int, ball_radius: int, limit: int, small: int) -> DataFrame:
+    """``a, b``: links that connect the ``nodes(node, w0, ...)`` that share a variant and differ in at most ``limit`` bits.
+
+    A bucket of at most ``small`` members is compared in memory and gives a star for each set of connected members, so
+    rows never exceed members. A larger bucket is worked off by leaders, see ``_led_links``.
     """
     keyed = _segment_balls(nodes, segments, ball_radius).repartition("key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a")
-    met = stage_table(keyed.join(shared, "key").where("node <> a").select("key", "a", F.col("node").alias("b")), "near-met")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
+    met = stage_table(keyed.join(shared, "key").select("key", "n", "a", F.col("node").alias("b")), "near-met")
+    names = [f"w{k}" for k in range(words)]
+    few = met.where(F.col("n") <= small).select("key", F.col("b").alias("node")).join(nodes, "node")
+    few = few.groupBy("key").agg(F.flatten(F.collect_list(F.array("node", *names))).alias("members"))
+    few = few.select(F.explode(_wide_stars(words, limit)("members")).alias("e")).select("e.a", "e.b").distinct()
+    many = stage_table(met.where((F.col("n") > small) & (F.col("b") != F.col("a"))).select("key", "a", "b"), "near-many")
+    return few if many.isEmpty() else few.union(_led_links(many, nodes, words, limit)).distinct()
+
+
+def _led_links(met: DataFrame, nodes: DataFrame, words: int, limit: int) -> DataFrame:
+    """``a, b``: links within large buckets ``met(key, a, b)``, where ``a`` is the smallest member.
+
+    In each round the smallest open node of a bucket (later of each of its lanes, so that few rounds are needed) leads:
+    the bucket's other members become candidates with it, equal candidates of different buckets are verified once, and
+    linked members are no longer open. The next leaders meet all members again, linked ones too. It ends when no bucket
+    has an open node; every member has then led or is linked. Two linked members of unlinked leaders are not compared.
+    """
     turn, done, waiting, led = met, [], None, None
     while True:
         pairs = turn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -245,7 +282,7 @@ def near_links(nodes: DataFrame, words: int, segments: int, ball_radius: int, li
 
 
 def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, segments: int = 8, ball_radius: int = 1, limit: int = 84
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, segments: int = 8, ball_radius: int = 1, limit: int = 84, small: int = 1024
 ) -> DataFrame:
     """``doc_id, component_id`` for every row: texts whose five-word shingles are 0.8 alike or more share a component.
 
@@ -263,7 +300,8 @@ def near_components(
     rows = stage_table(wide_fingerprints(docs, id_col, text_col, shingle, words), "near")
     prints = rows.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node"))
     nodes = stage_table(prints.groupBy("node").agg(F.min(F.struct(*names)).alias("w")).select("node", "w.*"), "near-nodes")
-    labels = connected_components(near_links(nodes, words, segments, ball_radius, limit), "near-cc")
+    edges = stage_table(near_links(nodes, words, segments, ball_radius, limit, small), "near-edges")
+    labels = connected_components(edges, "near-cc")
     of_print = stage_table(nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id")), "near-class")
     return rows.join(of_print, names, "left").select("doc_id", "component_id")
 

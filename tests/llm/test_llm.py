@@ -104,7 +104,8 @@ def near_brute(texts, limit=84, segments=8):
     return {i: find(i) for i in texts}
 
 
-def test_near_components(spark):
+@pytest.mark.parametrize("small", [1024, 4])
+def test_near_components(spark, small):
     """Against all pairs; the share of five-word near copies found; unrelated texts stay apart."""
     rng = random.Random(5)
     pool = [f"{w}{k}" for w in WORDS for k in range(40)]
@@ -119,7 +120,7 @@ def test_near_components(spark):
         words[rng.randrange(len(words))] = rng.choice(pool)
         texts[k] = " ".join(words)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("w0", F.lit("x")).withColumn("node", F.lit(1))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(rows.repartition(3)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(rows.repartition(3), small=small).collect()}
     assert got == near_brute(texts)
     sets = {i: five_words(t) for i, t in texts.items()}
     near = [(a, b) for a in texts for b in texts if a < b and jaccard(sets[a], sets[b]) >= 0.8]
