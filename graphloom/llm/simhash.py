@@ -236,9 +236,12 @@ def near_links(nodes: DataFrame, words: int, segments: int, ball_radius: int, li
     names = [f"w{k}" for k in range(words)]
     few = met.where(F.col("n") <= small).select("key", F.col("b").alias("node")).join(nodes, "node")
     few = few.groupBy("key").agg(F.flatten(F.collect_list(F.array("node", *names))).alias("members"))
-    few = few.select(F.explode(_wide_stars(words, limit)("members")).alias("e")).select("e.a", "e.b").distinct()
+    few = few.select(F.explode(_wide_stars(words, limit)("members")).alias("e")).select("e.a", "e.b")
+    # A member is in at most 33 * segments buckets. Its centres are tied to the least of them, which many members repeat.
+    few = few.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("centres"))
+    few = few.select("a", F.explode(F.array_append("centres", F.col("b"))).alias("b")).where("a <> b")
     many = stage_table(met.where((F.col("n") > small) & (F.col("b") != F.col("a"))).select("key", "a", "b"), "near-many")
-    return few if many.isEmpty() else few.union(_led_links(many, nodes, words, limit)).distinct()
+    return (few if many.isEmpty() else few.union(_led_links(many, nodes, words, limit))).distinct()
 
 
 def _led_links(met: DataFrame, nodes: DataFrame, words: int, limit: int) -> DataFrame:
