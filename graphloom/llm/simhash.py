@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil
 
@@ -309,8 +309,172 @@ def near_components(
     return rows.join(of_print, names, "left").select("doc_id", "component_id")
 
 
+def set_of(text: str | None, shingle: int, percent: int) -> tuple[int, int, int, np.ndarray, bytes, bytes]:
+    """One text as the set of its word shingles: 128 bits that name the set, its size, its prefix, its parities, its hashes.
+
+    The prefix holds the least hashes, as many as any set of ``percent`` Jaccard similarity must share at least one of.
+    The parities tell for each of some 2 to 4 times as many bits as there are hashes whether an odd number of hashes falls
+    on it: two sets differ in at least as many members as parities. An empty set is named 0, 0.
+    """
+    values = np.unique(shingle_hashes(text, shingle))
+    n, body = len(values), values.tobytes()
+    if not n:
+        return 0, 0, 0, values, b"", b""
+    width = max(512, 1 << (2 * n - 1).bit_length())
+    odd = np.bincount((_mixed(values, 0) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    name = xxhash.xxh3_128_intdigest(body, SEED)
+    return name >> 64, name & ((1 << 64) - 1), n, values[: n - -(-percent * n // 100) + 1], np.packbits(odd.astype(np.uint8)).tobytes(), body
+
+
+SET = "doc_id long, p0 long, p1 long, n long, prefix array<long>, odd binary, body binary"
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """:data:`SET` for every row, see :func:`set_of`."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                p0, p1, n, prefix, odd, body = zip(*(set_of(t, shingle, percent) for t in batch.column(1).to_pylist()), strict=True)
+                ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))
+                names = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (p0, p1))
+                columns = [batch.column(0), *names, pa.array(n, pa.int64()), prefix, pa.array(odd, pa.binary()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p0", "p1", "n", "prefix", "odd", "body"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(each, SET)
+
+
+def _closed(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The least member each of ``count`` members reaches. ``near(i, others)`` tells which others ``i`` is linked to.
+
+    A member meets only those no one has reached yet: every pair across two groups is compared, and a dense group takes
+    about one comparison a member.
+    """
+    label, free = np.arange(count), np.arange(count)
+    while len(free):
+        first, free = free[0], free[1:]
+        turn = [first]
+        while turn and len(free):
+            hit = near(turn.pop(), free)
+            label[free[hit]] = first
+            turn += free[hit].tolist()
+            free = free[~hit]
+    return label
+
+
+def parity_groups(sizes: np.ndarray, odds: list[bytes], percent: int) -> np.ndarray:
+    """Groups linked where sizes and parities leave ``percent`` similarity possible; no pair that has it is missed.
+
+    Of widths that differ, the wider parities are folded once; sizes allow no more.
+    """
+    own = np.array([len(x) // 8 for x in odds])
+    at = np.zeros(len(own), np.int64)
+    table, folded = {}, {}
+    for w in np.unique(own).tolist():
+        here = np.flatnonzero(own == w)
+        at[here] = np.arange(len(here))
+        table[w] = np.frombuffer(b"".join(odds[i] for i in here), np.uint64).reshape(-1, w)
+        folded[w] = table[w][:, : w // 2] ^ table[w][:, w // 2 :]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        n, w = sizes[others], int(own[i])
+        fits = (100 * n >= percent * sizes[i]) & (100 * sizes[i] >= percent * n)
+        apart = np.zeros(len(others), np.int64)
+        for v, mine, theirs in ((w, table[w][at[i]], table), (2 * w, table[w][at[i]], folded), (w // 2, folded[w][at[i]], table)):
+            here = np.flatnonzero(fits & (own[others] == v))
+            if len(here):
+                apart[here] = np.bitwise_count(theirs[v][at[others[here]]] ^ mine).sum(axis=1)
+        return fits & ((100 + percent) * apart <= (100 - percent) * (n + sizes[i]))
+
+    return _closed(len(own), near)
+
+
+def jaccard_groups(sizes: np.ndarray, bodies: list[bytes], percent: int) -> np.ndarray:
+    """Groups linked by an exact Jaccard similarity of ``percent`` or more."""
+    values = [np.frombuffer(x, np.uint64) for x in bodies]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        n, out = sizes[others], np.zeros(len(others), bool)
+        fits = np.flatnonzero((100 * n >= percent * sizes[i]) & (100 * sizes[i] >= percent * n))
+        for begin in range(0, len(fits), 4096):
+            some = fits[begin : begin + 4096]
+            flat = np.concatenate([values[k] for k in others[some]])
+            found = values[i][np.minimum(np.searchsorted(values[i], flat), len(values[i]) - 1)] == flat
+            both = np.add.reduceat(found, np.concatenate(([0], np.cumsum(n[some])[:-1])), dtype=np.int64)
+            out[some] = 100 * both >= percent * (n[some] + sizes[i] - both)
+        return out
+
+    return _closed(len(values), near)
+
+
+def _grouped(rows: DataFrame, group: str, blob: str, groups, percent: int) -> DataFrame:
+    """``a, b``: for each ``group`` of ``rows(group, node, n, blob)`` a star from the least to the other nodes of each of its groups.
+
+    Rows stream through sorted, so that one group at a time is in memory and batches stay small.
+    """
+
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, n = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2))
+        blobs = [x for p in parts for x in p.column(3).to_pylist()]
+        order = np.argsort(node)
+        label = groups(n[order], [blobs[i] for i in order], percent)
+        node = node[order]
+        kept = node[label] != node
+        return pa.RecordBatch.from_arrays([pa.array(node[label][kept]), pa.array(node[kept])], names=["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if held and keys[i] != of:
+                    yield links(held)
+                    held = []
+                of = keys[i]
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield links(held)
+
+    dealt = rows.select(group, "node", "n", blob).repartition(group).sortWithinPartitions(group)
+    return dealt.mapInArrow(each, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, component_id`` for every row: texts linked by a Jaccard similarity of ``percent`` or more, exactly.
+
+    Similarity is of the sets of ``shingle``-word shingles. Two sets that are alike enough share one of their prefixes'
+    hashes, so each meets the other in some bucket; a bucket of any size gives a star for each of its groups by parity,
+    which loses no pair. The components of these stars are then split by exact similarity, one component at a time in
+    memory. Null, empty and blank texts are one node; null and repeated ids are treated as in :func:`near_components`.
+    """
+    rows = stage_table(shingle_sets(docs, id_col, text_col, shingle, percent), "sets")
+    prints = rows.where("doc_id is not null").groupBy("p0", "p1").agg(F.min("doc_id").alias("doc_id"))
+    nodes = stage_table(prints.groupBy("doc_id").agg(F.min(F.struct("p0", "p1")).alias("p")).select("doc_id", "p.*"), "set-nodes")
+    own = rows.join(nodes, ["doc_id", "p0", "p1"], "left_semi").withColumnRenamed("doc_id", "node")
+    met = own.select("node", F.explode("prefix").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("members"))
+    met = met.where(F.size("members") > 1).select("members").distinct()  # copies of one text meet in many equal buckets
+    met = stage_table(met.select(F.xxhash64("members").alias("bucket"), "members"), "set-buckets")
+    met = met.select("bucket", F.explode("members").alias("node")).distinct()
+    loose = _grouped(met.join(own.select("node", "n", "odd").dropDuplicates(["node"]), "node"), "bucket", "odd", parity_groups, percent)
+    # A node's centres are tied to the least of them, which many nodes repeat.
+    loose = loose.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("centres"))
+    loose = loose.select("a", F.explode(F.array_append("centres", F.col("b"))).alias("b")).where("a <> b").distinct()
+    near = connected_components(stage_table(loose, "set-loose"), "set-cc")
+    bodies = near.join(own.select("node", "n", "body"), "node").dropDuplicates(["node"])
+    exact = stage_table(_grouped(bodies, "label", "body", jaccard_groups, percent), "set-exact")
+    labels = nodes.join(exact.select(F.col("b").alias("doc_id"), F.col("a").alias("label")), "doc_id", "left")
+    of_print = stage_table(labels.select("p0", "p1", F.coalesce("label", "doc_id").alias("component_id")), "set-class")
+    return rows.select("doc_id", "p0", "p1").join(of_print, ["p0", "p1"], "left").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
     """``docs`` without the members of a near component other than the one with the smallest id (null ids stay)."""
-    groups = near_components(docs, id_col, text_col, **parameters)
+    groups = jaccard_components(docs, id_col, text_col, **parameters)
     gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gl_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gl_gone"), "left_anti")

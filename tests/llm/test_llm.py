@@ -139,6 +139,68 @@ def test_near_components_edges(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "9", "9", "4", "4", "7", "None", "None"])
 
 
+def edited(rng, text, pool, n):
+    words = text.split()
+    for k in rng.sample(range(len(words)), n):
+        words[k] = rng.choice(pool)
+    return " ".join(words)
+
+
+def exact_groups(texts):
+    """Smallest reachable id over all pairs of a Jaccard similarity of 0.8 or more."""
+    sets = {i: five_words(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in texts}
+
+
+def test_jaccard_pairs(spark):
+    """Isolated edited copies, short and long, on both sides of 0.8: all pairs at or above it meet, none below."""
+    rng = random.Random(8)
+    pool = [f"{w}{k}" for w in WORDS for k in range(40)]
+    texts = {}
+    for k in range(0, 300, 2):
+        texts[k] = " ".join(rng.choices(pool, k=rng.choice((4, 6, 9, 14, 40, 130, 270, 600, 1500))))
+        n = len(texts[k].split())
+        texts[k + 1] = edited(rng, texts[k], pool, rng.randint(1, 1 + n // 40)) if k % 3 else texts[k] + " " + " ".join(rng.choices(pool, k=1 + n // rng.randint(3, 12)))
+    sets = {i: five_words(t) for i, t in texts.items()}
+    alike = [jaccard(sets[k], sets[k + 1]) for k in range(0, 300, 2)]
+    assert sum(0.8 <= x < 0.86 for x in alike) > 15 and sum(0.7 < x < 0.8 for x in alike) > 15
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.jaccard_components(rows).collect()} == exact_groups(texts)
+    kept = {r["doc_id"] for r in simhash.keep_first(rows).collect()}
+    assert kept == {i for i, low in exact_groups(texts).items() if i == low}
+
+
+def test_jaccard_chain(spark):
+    """A chain of drifting copies in one large bucket, ends unlike, is one group; a chain cut in the middle is two."""
+    rng = random.Random(9)
+    pool = [f"{w}{k}" for w in WORDS for k in range(40)]
+    head, texts = " ".join(rng.choices(pool, k=30)), {}
+    for first, n in ((0, 700), (5000, 500)):
+        tail = rng.choices(pool, k=170)
+        for k in range(n):
+            tail[(7 * k) % 170] = rng.choice(pool)
+            texts[first + k] = head + " " + " ".join(tail)
+    sets = {i: five_words(t) for i, t in texts.items()}
+    assert jaccard(sets[0], sets[699]) < 0.2 and all(jaccard(sets[k], sets[k + 1]) >= 0.8 for k in range(699))
+    found = simhash.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: 0 if i < 5000 else 5000 for i in texts}
+    rest = [r for i, r in enumerate(texts.items()) if not 300 <= i < 400]
+    found = simhash.jaccard_components(spark.createDataFrame(rest, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == exact_groups(dict(rest))
+
+
 def test_simhash_edges(spark):
     assert simhash.fingerprint_of(None) == simhash.fingerprint_of(" \t") == 0
     one = simhash.fingerprint_of("Only Three Words")
