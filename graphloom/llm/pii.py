@@ -20,9 +20,11 @@ KINDS: dict[str, str] = {
     "date": r"(?<![0-9\-/])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
+    # A whole run of numbers, from which _pieces takes the cards: what stands beside a card may look like a part of it.
+    "card": r"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ \-][0-9]++(?![A-Za-z]))*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+OTHERS = "|".join(f"(?:{p})" for kind, p in KINDS.items() if kind != "card")
 #: A text without any of these characters holds none of the kinds.
 HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|[0-9a-fA-F]{32}"
 #: Days from 1900-01-01 over which dates are permuted (270 x 272, to 2101-01-27): a product, so no walk out of range.
@@ -152,6 +154,40 @@ def kind_of(x: Column) -> Column:
     return out
 
 
+def _pieces(x: Column) -> Column:
+    """A run of numbers in pieces ``m, k``: from the left, the longest sequence of whole numbers that is a card; the
+    other kinds in what is left; the rest, without a kind. The pieces joined are the run."""
+    part = lambda m, k: F.struct(m.alias("m"), (F.lit(k).cast("string") if isinstance(k, str | None) else k).alias("k"))
+
+    def cards(g: Column) -> Column:
+        run = lambda i, j: F.array_join(F.slice(g, i + 1, j - i + 1), "")
+
+        def valid(digits: Column) -> Column:
+            return _let(digits, lambda d: F.char_length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0))
+
+        def step(acc: Column, i: Column) -> Column:
+            ends = F.sequence(i, F.least(i + 18, F.size(g) - 1))
+            last = F.when(i >= acc["next"], F.array_max(F.filter(ends, lambda j: valid(_only_digits(run(i, j))))))
+
+            def turn(j: Column) -> Column:
+                body = F.rtrim(F.regexp_replace(run(i, j), "-$", ""))
+                found = F.concat(acc["out"], F.array(part(acc["rest"], None), part(body, "card")))
+                rest = F.when(i < acc["next"], acc["rest"]).when(j.isNull(), F.concat(acc["rest"], g[i])).otherwise(F.regexp_extract(g[j], "[^0-9]*$", 0))
+                return F.struct(F.coalesce(j + 1, acc["next"]).alias("next"), rest.alias("rest"), F.when(j.isNull(), acc["out"]).otherwise(found).alias("out"))
+
+            return _let(last, turn)
+
+        start = F.struct(F.lit(0).alias("next"), F.lit("").alias("rest"), F.array().cast("array<struct<m:string,k:string>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda a: F.concat(a["out"], F.array(part(a["rest"], None))))
+
+    def others(s: Column) -> Column:
+        gaps, found = F.split(s["m"], OTHERS, -1), F.regexp_extract_all(s["m"], F.lit(OTHERS), F.lit(0))
+        both = _let(found, lambda f: F.flatten(F.transform(gaps, lambda gap, i: F.array(part(gap, None), _let(F.get(f, i), lambda m: part(F.coalesce(m, F.lit("")), kind_of(m)))))))
+        return F.when(s["k"].isNull(), both).otherwise(F.array(s))
+
+    return F.flatten(F.transform(_let(F.regexp_extract_all(x, F.lit("[0-9]+[^0-9]?"), F.lit(0)), cards), others))
+
+
 def pseudonym(x: Column, kind: Column, key: str) -> Column:
     """Pseudonym of one match of :data:`PATTERN`."""
     return (
@@ -171,19 +207,22 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "graphloom"
 
     ``kinds_col`` names an extra column: array<string> with the kind of each match that was replaced. Null texts stay
     null (their kinds too), empty texts stay empty. Equal values get equal pseudonyms under one ``key``, which is a
-    secret of the deployment. A card-like number that fails the Luhn test is no card and stays. Repeated rows and empty
-    tables need no special case; there is no shuffle and no Python.
+    secret of the deployment. A card-like number that fails the Luhn test is no card and stays; in a run of several
+    numbers, sequences of whole numbers are tried, see :func:`_pieces`. Repeated rows and empty tables need no special
+    case; there is no shuffle and no Python.
     """
     text = F.col(f"`{text_col}`").cast("string")
     hit = text.rlike(HINT)
     found = docs.withColumn("_gl_m", F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     found = found.withColumn("_gl_g", F.when(F.size("_gl_m") > 0, F.split(text, PATTERN, -1)))
-    named = found.withColumn("_gl_k", F.when(F.size("_gl_m") > 0, F.transform("_gl_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))))
-    swapped = named.withColumn("_gl_p", F.transform("_gl_k", lambda s: F.struct(pseudonym(s["m"], s["k"], key).alias("p"), s["m"].alias("m"), s["k"].alias("k"))))
-    joined = F.concat(F.array_join(F.transform("_gl_p", lambda s, i: F.concat(F.get("_gl_g", i), s["p"])), ""), F.get("_gl_g", F.size("_gl_p")))
+    one = lambda m: _let(kind_of(m), lambda k: F.when(k == "card", _pieces(m)).otherwise(F.array(F.struct(m.alias("m"), k.alias("k")))))
+    named = found.withColumn("_gl_k", F.when(F.size("_gl_m") > 0, F.transform("_gl_m", one)))
+    swapped = named.withColumn("_gl_p", F.transform("_gl_k", lambda x: F.transform(x, lambda s: F.struct(pseudonym(s["m"], s["k"], key).alias("p"), s["m"].alias("m"), s["k"].alias("k")))))
+    whole = lambda x: F.array_join(F.transform(x, lambda s: s["p"]), "")
+    joined = F.concat(F.array_join(F.transform("_gl_p", lambda x, i: F.concat(F.get("_gl_g", i), whole(x))), ""), F.get("_gl_g", F.size("_gl_p")))
     out = swapped.withColumn(text_col, F.when(F.size("_gl_p") > 0, joined).otherwise(text))
     if kinds_col:
-        kinds = F.transform(F.filter("_gl_p", lambda s: s["p"] != s["m"]), lambda s: s["k"])
+        kinds = F.transform(F.filter(F.flatten("_gl_p"), lambda s: s["p"] != s["m"]), lambda s: s["k"])
         out = out.withColumn(kinds_col, F.when(F.col("_gl_p").isNotNull(), kinds).when(text.isNotNull(), F.array().cast("array<string>")))
     return out.drop("_gl_m", "_gl_g", "_gl_k", "_gl_p")
 

@@ -401,6 +401,29 @@ def luhn(d):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
 
 
+def test_pii_neighbours(spark):
+    """A card beside other numbers is found, and so are the other kinds; the numbers beside it stay."""
+    card, split = "4539578763621486", "4539 5787 6362 1486"
+    cases = {
+        f"pay {card} 124 now": ("pay ", " 124 now", 1), f"pay 10 {card}": ("pay 10 ", "", 1), f"12 35 {card} 5-6 end": ("12 35 ", " 5-6 end", 1), f"7 {split} 12": ("7 ", " 12", 1),
+        f"12 34 56 {split}": ("12 34 56 ", "", 1), f"{split}-99 12ab": ("", "-99 12ab", 1), f"{card} 2024-01-05": ("", None, 2), f"{card} 124-45-6789": ("", None, 2),
+        f"{card} 555-123-4567 x": ("", None, 2), "1234567890123 4": ("1234567890123 4", "", 0), f"9 {card}a": (f"9 {card}a", "", 0), "8" * 20: ("8" * 20, "", 0),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pii_report(rows, key="k").collect()}
+    plain = pii.pii_report(spark.createDataFrame([(0, card), (1, split)], "doc_id long, text string"), key="k").collect()
+    swapped = {r["doc_id"]: r["text"] for r in plain}
+    for i, (text, (head, tail, n)) in enumerate(cases.items()):
+        moved = swapped[1] if split in text else swapped[0]
+        assert got[i]["n_found"] == n and got[i]["n_card"] == min(n, 1), text
+        if n == 0:
+            assert got[i]["text"] == text
+        elif tail is None:
+            assert got[i]["text"].startswith(moved) and not set(text.split()) & (set(got[i]["text"].split()) - {"x"})
+        else:
+            assert got[i]["text"] == head + moved + tail
+
+
 def test_pii(spark):
     text = "mail Joe.X@mail3.example.com card 4785380592391139 or 4785-3805-9239-1139 not 4785380592391138 call +1 (017) 555-7713 ip 97.51.17.173 on 2021-02-28 and 2021-02-30 ssn 123-45-6789 token 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(1, text), (2, "again 4785380592391139, 97.51.17.173; 2021-02-28!"), (3, None), (4, ""), (5, "no data here, 3 apples"), (6, "4785380592391139")]
