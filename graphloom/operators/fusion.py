@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +83,24 @@ def budget_running(rows: DataFrame, cost: str, budget: int, group: str, order: l
 def budget_skip(rows: DataFrame, id_col: str, cost: str, budget: int, group: str, order: str) -> DataFrame:
     """Greedy with skipping: take a row if it still fits, else pass over it and go on. ``group, id, used``.
 
-    A group is one result list, already cut by its ranking; the fold runs over that list in the JVM.
+    A group's rows stream through in order, however many; only the cost used so far is kept.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(id_col).alias("id"), F.col(cost).cast("long").alias("cost"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:string,used:bigint>>").alias("taken"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["cost"] <= budget
-        row = F.struct(x["id"].cast("string").alias("id"), (acc["used"] + x["cost"]).alias("used"))
-        return F.struct(F.when(fits, acc["used"] + x["cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(row))).otherwise(acc["taken"]).alias("taken"))
-
-    lists = rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return lists.select(group, F.explode(F.aggregate("items", start, step, lambda a: a["taken"])).alias("t")).select(group, "t.id", "t.used")
+    kind = rows.schema[group].dataType.simpleString()
+    fitting = rows.where(F.col(cost) <= budget).repartition(F.col(group)).sortWithinPartitions(group, order, id_col, cost)
+    line = fitting.select(group, F.col(id_col).cast("string").alias("_id"), F.col(cost).cast("long").alias("_cost"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, used = (), 0  # no group equals the empty tuple
+        for batch in batches:
+            at, sums = [], []
+            for i, (g, c) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if g != of:
+                    of, used = g, 0
+                if used + c <= budget:
+                    used += c
+                    at.append(i)
+                    sums.append(used)
+            picked = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(sums, pa.int64())], names=[group, "id", "used"])
+
+    return line.mapInArrow(take, f"`{group}` {kind}, id string, used bigint")

@@ -183,8 +183,7 @@ def token_budget(spark, d):
 @query("budget_skip")
 def budget_skip(spark, d):
     top = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", T.estimate_tokens(F.col("text")).alias("cost"), F.xxhash64("doc_id").alias("o"))
-    ranked = top.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("o"))).where("rn <= 50")  # the result list a capsule starts from
-    return fusion.budget_skip(ranked, "doc_id", "cost", 4000, "source", "o")
+    return fusion.budget_skip(top, "doc_id", "cost", 4000, "source", "o")
 
 
 @query("interleave", "SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS BIGINT) AS rn FROM documents")

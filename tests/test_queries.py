@@ -42,6 +42,21 @@ def test_query(spark, con, name):
     assert got == want
 
 
+def test_budget_skip_whole(spark, tmp_path):
+    """Against a plain fold over all rows: many small ones, and one that fits only after large ones were passed over."""
+    rows = [(k, "a", "tiny text") for k in range(300)] + [(k, "b", "x" * (9000 if k < 390 else 30)) for k in range(300, 400)] + [(400, None, "y" * 20000), (401, None, "z")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = {r["doc_id"]: r["o"] for r in spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("doc_id", "xxhash64(doc_id) AS o").collect()}
+    used, want = {}, set()
+    for i, source, text in sorted(rows, key=lambda r: order[r[0]]):
+        cost = max(1, len(text) // 4)
+        if used.get(source, 0) + cost <= 4000:
+            used[source] = used.get(source, 0) + cost
+            want.add((source, str(i), used[source]))
+    got = {(r["source"], r["id"], r["used"]) for r in QUERIES["budget_skip"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(s == "a" for s, *_ in got) == 300
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
