@@ -287,7 +287,9 @@ def _led_links(met: DataFrame, nodes: DataFrame, words: int, limit: int) -> Data
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, segments: int = 8, ball_radius: int = 1, limit: int = 84, small: int = 1024
 ) -> DataFrame:
-    """``doc_id, component_id`` for every row: texts whose five-word shingles are 0.8 alike or more share a component.
+    """``doc_id, component_id`` for every row, approximately: see :func:`jaccard_components` for the exact form.
+
+    Texts whose five-word shingles are some 0.8 alike or more are likely to share a component.
 
     Fingerprints of ``64 * words`` bits are linked when at most ``limit`` bits differ (84 of 512 stand for a Jaccard
     similarity of 0.77, one standard deviation below 0.8) and when one of the first ``segments`` 32-bit segments
@@ -456,17 +458,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = stage_table(shingle_sets(docs, id_col, text_col, shingle, percent), "sets")
     prints = rows.where("doc_id is not null").groupBy("p0", "p1").agg(F.min("doc_id").alias("doc_id"))
     nodes = stage_table(prints.groupBy("doc_id").agg(F.min(F.struct("p0", "p1")).alias("p")).select("doc_id", "p.*"), "set-nodes")
-    own = rows.join(nodes, ["doc_id", "p0", "p1"], "left_semi").withColumnRenamed("doc_id", "node")
-    met = own.select("node", F.explode("prefix").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("members"))
+
+    def own(of: DataFrame, *columns: str) -> DataFrame:
+        """``columns`` of the rows that nodes ``of(node, p0, p1, ...)`` stand for; dealt by id alone, so once. Repeated rows repeat."""
+        pick = rows.select(F.col("doc_id").alias("node"), F.col("p0").alias("q0"), F.col("p1").alias("q1"), *columns)
+        same = F.col("p0").bitwiseXOR(F.col("q0")).bitwiseOR(F.col("p1").bitwiseXOR(F.col("q1"))) == 0
+        return pick.join(of, "node").where(same).drop("p0", "p1", "q0", "q1")
+
+    of_id = nodes.withColumnRenamed("doc_id", "node")
+    met = own(of_id, "prefix").select("node", F.explode("prefix").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("members"))
     met = met.where(F.size("members") > 1).select("members").distinct()  # copies of one text meet in many equal buckets
     met = stage_table(met.select(F.xxhash64("members").alias("bucket"), "members"), "set-buckets")
     met = met.select("bucket", F.explode("members").alias("node")).distinct()
-    loose = _grouped(met.join(own.select("node", "n", "odd").dropDuplicates(["node"]), "node"), "bucket", "odd", parity_groups, percent)
+    loose = _grouped(met.join(own(of_id, "n", "odd").dropDuplicates(["node"]), "node"), "bucket", "odd", parity_groups, percent)
     # A node's centres are tied to the least of them, which many nodes repeat.
     loose = loose.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("centres"))
     loose = loose.select("a", F.explode(F.array_append("centres", F.col("b"))).alias("b")).where("a <> b").distinct()
     near = connected_components(stage_table(loose, "set-loose"), "set-cc")
-    bodies = near.join(own.select("node", "n", "body"), "node").dropDuplicates(["node"])
+    bodies = own(of_id.join(near, "node"), "n", "body").dropDuplicates(["node"])
     exact = stage_table(_grouped(bodies, "label", "body", jaccard_groups, percent), "set-exact")
     labels = nodes.join(exact.select(F.col("b").alias("doc_id"), F.col("a").alias("label")), "doc_id", "left")
     of_print = stage_table(labels.select("p0", "p1", F.coalesce("label", "doc_id").alias("component_id")), "set-class")

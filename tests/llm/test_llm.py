@@ -201,6 +201,20 @@ def test_jaccard_chain(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == exact_groups(dict(rest))
 
 
+def test_parity_groups():
+    """A drifting chain through one bucket of over 1,024 members stays one group, and its ends are unlike."""
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(200)]
+    odds, sizes = [], []
+    for k in range(1500):
+        words[(7 * k) % 200] = f"x{rng.random()}"
+        _, _, n, _, odd, _ = simhash.set_of(" ".join(words), 5, 80)
+        odds.append(odd)
+        sizes.append(n)
+    assert set(simhash.parity_groups(np.array(sizes), odds, 80).tolist()) == {0}
+    assert simhash.parity_groups(np.array(sizes)[[0, -1]], [odds[0], odds[-1]], 80).tolist() == [0, 1]
+
+
 def test_simhash_edges(spark):
     assert simhash.fingerprint_of(None) == simhash.fingerprint_of(" \t") == 0
     one = simhash.fingerprint_of("Only Three Words")
