@@ -277,6 +277,17 @@ def seed_distribution(spark, d):
     return fusion.seed_distribution(_layers(spark, d), nodes).select("symbol_id", r("mass").alias("mass"))
 
 
+@query(
+    "seed_distribution_full",
+    f"""WITH {_LAYERS}, m AS (SELECT *, min(score) OVER (PARTITION BY layer) AS lo, max(score) OVER (PARTITION BY layer) AS hi FROM hits),
+    s AS (SELECT symbol_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS v FROM m), w AS (SELECT symbol_id, sum(CASE WHEN v <= 0 THEN 1e-3 ELSE v END) AS w FROM s
+    GROUP BY symbol_id) SELECT symbol_id, round(w / (SELECT sum(w) FROM w), 6) AS mass FROM w""",
+)
+def seed_distribution_full(spark, d):
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"))
+    return fusion.seed_distribution(_layers(spark, d), nodes).select("symbol_id", r("mass").alias("mass"))
+
+
 # ---- lookups
 
 _SYM = S.values(S.SYMBOLS, "symbol", S.SYMBOL_COLUMNS)
@@ -384,6 +395,14 @@ def hubs(spark, d):
     return graph.hubs(graph.symmetric(e, n), n.count()).select("id", r("degree").alias("degree"))
 
 
+@query("hubs_full", f"WITH e AS ({FULL_SQL}), {_SYMM}, g AS (SELECT u AS id, sum(w) AS degree FROM a GROUP BY u) SELECT id, round(degree, 6) AS degree FROM g ORDER BY degree DESC, id LIMIT (SELECT greatest(1, count(*) // 10) FROM g)")
+def hubs_full(spark, d):
+    """Hubs of the graph of ``degree``."""
+    e = graph.cut(full_edges(spark, d))
+    n = graph.cut(nodes_of(e))
+    return graph.hubs(graph.symmetric(e, n), n.count()).select("id", r("degree").alias("degree"))
+
+
 @query(
     "projection_weights",
     f"""WITH e AS ({SMALL_SQL}), g AS (SELECT *, CASE kind WHEN 'calls' THEN 0.95 WHEN 'inherits' THEN 0.9 WHEN 'imports' THEN 0.45 END AS gs, CASE kind WHEN 'calls' THEN 1.0 WHEN 'inherits' THEN 0.5 WHEN 'imports' THEN 0.05 END AS gc FROM e),
@@ -400,17 +419,34 @@ def projection_weights(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def _trace_sql(arcs: str, depth: int) -> str:
+@query(
+    "projection_weights_full",
+    f"""WITH e AS ({FULL_SQL}), g AS (SELECT *, CASE kind WHEN 'calls' THEN 0.95 WHEN 'inherits' THEN 0.9 WHEN 'imports' THEN 0.45 ELSE 0.8 END AS gs,
+      CASE kind WHEN 'calls' THEN 1.0 WHEN 'inherits' THEN 0.5 WHEN 'imports' THEN 0.05 ELSE 0.6 END AS gc FROM e), n AS (SELECT src_id AS id FROM e UNION SELECT dst_id FROM e),
+    v AS (SELECT 'forward' AS view, src_id AS u, dst_id AS v, sum(confidence) AS w FROM g GROUP BY ALL UNION ALL SELECT 'reverse_structural', dst_id, src_id, sum(confidence * gs) FROM g GROUP BY ALL
+      UNION ALL SELECT 'reverse_complexity', dst_id, src_id, sum(confidence * gc) FROM g GROUP BY ALL)
+    SELECT view, u, v, round(w, 6) AS w FROM v UNION ALL SELECT k.view, n.id, n.id, 1.0 FROM (SELECT DISTINCT view FROM v) k CROSS JOIN n LEFT JOIN (SELECT DISTINCT view, u FROM v) o ON o.view = k.view AND o.u = n.id WHERE o.u IS NULL""",
+)
+def projection_weights_full(spark, d):
+    e = graph.cut(full_edges(spark, d))
+    views = graph.projections(e, nodes_of(e))
+    rows = [views[k].select(F.lit(k).alias("view"), "u", "v", r("w").alias("w")) for k in ("forward", "reverse_structural", "reverse_complexity")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _trace_sql(arcs: str, depth: int, edges: str = SMALL_SQL) -> str:
     levels = ["l0 AS (SELECT 'n:3' AS id, 0 AS hop)"]
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT id FROM l{j}" for j in range(k))
         levels.append(f"l{k} AS (SELECT DISTINCT b AS id, {k} AS hop FROM arcs JOIN l{k - 1} ON a = id WHERE b NOT IN ({seen}))")
     rows = " UNION ALL ".join(f"SELECT id AS symbol_id, CAST(hop AS INT) AS hop, round(1.0 / hop, 6) AS score FROM l{k}" for k in range(1, depth + 1))
-    return f"WITH e AS ({SMALL_SQL}), arcs AS ({arcs}), {', '.join(levels)} {rows}"
+    return f"WITH e AS ({edges}), arcs AS ({arcs}), {', '.join(levels)} {rows}"
 
 
 for _dir, _arcs in {"out": "SELECT src_id AS a, dst_id AS b FROM e", "in": "SELECT dst_id AS a, src_id AS b FROM e", "both": "SELECT src_id AS a, dst_id AS b FROM e UNION ALL SELECT dst_id, src_id FROM e"}.items():
     ORACLES[f"trace_{_dir}"] = _trace_sql(_arcs, 3)
+    ORACLES[f"trace_{_dir}_full"] = _trace_sql(_arcs, 3, FULL_SQL)
+    QUERIES[f"trace_{_dir}_full"] = lambda spark, d, w=_dir: graph.trace(graph.cut(full_edges(spark, d)), "n:3", w, 3).select("symbol_id", F.col("hop").cast("int").alias("hop"), r("score").alias("score"))
     QUERIES[f"trace_{_dir}"] = lambda spark, d, w=_dir: graph.trace(small_edges(spark, d), "n:3", w, 3).select("symbol_id", F.col("hop").cast("int").alias("hop"), r("score").alias("score"))
 
 
