@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (unit tests on one machine) a local folder is made and removed at exit.
+    Only where that is unset and the master is local (unit tests on one machine) a folder is made and removed at exit; on
+    a cluster without the setting this raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, own, True)
         found = f"file://{own}"
@@ -34,7 +38,24 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,8 +71,9 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
 
     Hook-and-shortcut rounds: each node hooks its parent and itself onto the smallest grandparent among its
     neighbours, then jumps to its own grandparent, so the number of rounds is logarithmic in practice. Every
-    round is two equi-joins and two partially aggregated minimums, written to the shared folder; the driver
-    sees one count per round. An empty edge list gives an empty result.
+    round is two equi-joins and two partially aggregated minimums, written to the shared folder (the tables of earlier
+    rounds are deleted); the driver sees one count per round. Labels that still move after ``max_rounds`` rounds raise an
+    error. An empty edge list gives an empty result.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct()
@@ -59,7 +81,7 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     state = stage_table(
         both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("f")), f"{name}-0"
     )
-    for k in range(1, max_rounds):
+    for k in range(1, max_rounds + 1):
         parent = state.select(F.col("u").alias("p"), F.col("f").alias("g"))
         grand = state.join(parent, F.col("f") == F.col("p")).select("u", "f", "g")
         grand = stage_table(grand, f"{name}-g{k}")
@@ -72,7 +94,11 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         )
         fresh = stage_table(hooks.groupBy("u").agg(F.min("c").alias("f")), f"{name}-{k}")
         moved = fresh.join(grand.select("u", F.col("g").alias("old")), "u").where("f <> old").limit(1).count()
+        drop_stage(state, grand)
         state = fresh
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
+    drop_stage(both)
     return state.select(F.col("u").alias("node"), F.col("f").alias("label"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage_table
+from .common import connected_components, free_name, stage_table
 
 SEED = 42
 
@@ -31,14 +31,21 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[i:j], SEED) for i, j in spans], np.uint64)
 
 
+def bit_counts(values: np.ndarray) -> np.ndarray:
+    """How many of the rows of ``values`` (unsigned 64-bit, rows x words) have each bit, the highest bit first."""
+    out = np.zeros(64 * values.shape[1], np.int64)
+    for at in range(0, len(values), 255 * 64):
+        bits = np.unpackbits(values[at : at + 255 * 64].astype(">u8").view(np.uint8).reshape(-1, 8 * values.shape[1]), axis=1)
+        whole = len(bits) // 255 * 255  # 255 ones still fit a byte
+        out += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        out += bits[whole:].sum(axis=0, dtype=np.uint8)
+    return out
+
+
 def fingerprint_of(text: str | None, shingle: int = 4) -> int:
     """64-bit SimHash of one text: majority bit over the XXH64 values of its word shingles, repeats included."""
     values = shingle_hashes(text, shingle)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(values), 1 << 16):
-        block = values[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * bit_counts(values[:, None]) > len(values)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -155,201 +162,84 @@ def simhash_components(
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def _mixed(values: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th further 64-bit hash of each value: the finaliser of SplitMix64 over a shifted start."""
-    x = values + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & ((1 << 64) - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint_of(text: str | None, shingle: int = 5, words: int = 8) -> list[int]:
-    """SimHash of ``words`` times 64 bits over the set of word shingles, as unsigned words; all zero without a word."""
-    values = np.unique(shingle_hashes(text, shingle))
-    out = []
-    for k in range(words if len(values) else 0):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(values), 1 << 16):
-            block = _mixed(values[at : at + (1 << 16)], k).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.uint32)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big"))
-    return out or [0] * words
-
-
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """``doc_id, w0, w1, ...`` for every row."""
-    names = [f"w{k}" for k in range(words)]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [wide_fingerprint_of(t, shingle, words) for t in batch.column(1).to_pylist()]
-            values = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(words))], names=["doc_id", *names])
+class _WordHashes(dict):
+    """Hash of each word, remembered; emptied when it holds a million words, which changes speed only."""
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return value
 
 
-def _segment_balls(nodes: DataFrame, segments: int, ball_radius: int) -> DataFrame:
-    """``key, node``: each 32-bit segment of a wide fingerprint emits every variant within ``ball_radius`` bits.
+_words = _WordHashes()
+#: Odd multipliers, one for each further hash of a 64-bit value.
+_ODD = np.array([xxhash.xxh3_64_intdigest(b"%d" % k, SEED) | 1 for k in range(64)], np.uint64)
 
-    The number of the segment stands above its bits in the key.
-    """
-    halves = [F.shiftrightunsigned(f"w{s // 2}", 32 * (s % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(s << 32).cast("long")) for s in range(segments)]
-    masks = F.expr("explode(array(" + ",".join(f"{m}L" for m in ball(32, ball_radius)) + "))")
-    cut = nodes.select("node", F.explode(F.array(*halves)).alias("segment"))
-    return cut.select("node", "segment", masks.alias("mask")).select(F.col("segment").bitwiseXOR(F.col("mask")).alias("key"), "node")
 
+def _remixed(values: np.ndarray, k: int | slice) -> np.ndarray:
+    x = values * _ODD[k]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
-def _wide_stars(words: int, limit: int):
-    """Stars that connect what the pairs within ``limit`` bits of one bucket connect; a member is its node and its words."""
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def stars(members: pd.Series) -> pd.Series:
-        out = []
-        for group in members:
-            x = np.asarray(group, np.int64).reshape(-1, 1 + words)
-            x = x[np.argsort(x[:, 0])]
-            prints, label = x[:, 1:].view(np.uint64), np.arange(len(x))
-            near = np.stack([np.bitwise_count(prints ^ one).sum(axis=1) <= limit for one in prints])
-            while True:
-                low = np.where(near, label[None, :], len(x)).min(axis=1)
-                low = low[low]
-                if (low == label).all():
-                    break
-                label = low
-            out.append([{"a": int(x[label[i], 0]), "b": int(x[i, 0])} for i in range(len(x)) if label[i] != i])
-        return pd.Series(out)
-
-    return stars
-
-
-def near_links(nodes: DataFrame, words: int, segments: int, ball_radius: int, limit: int, small: int) -> DataFrame:
-    """``a, b``: links that connect the ``nodes(node, w0, ...)`` that share a variant and differ in at most ``limit`` bits.
-
-    A bucket of at most ``small`` members is compared in memory and gives a star for each set of connected members, so
-    rows never exceed members. A larger bucket is worked off by leaders, see ``_led_links``.
-    """
-    keyed = _segment_balls(nodes, segments, ball_radius).repartition("key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    met = stage_table(keyed.join(shared, "key").select("key", "n", "a", F.col("node").alias("b")), "near-met")
-    names = [f"w{k}" for k in range(words)]
-    few = met.where(F.col("n") <= small).select("key", F.col("b").alias("node")).join(nodes, "node")
-    few = few.groupBy("key").agg(F.flatten(F.collect_list(F.array("node", *names))).alias("members"))
-    few = few.select(F.explode(_wide_stars(words, limit)("members")).alias("e")).select("e.a", "e.b")
-    # A member is in at most 33 * segments buckets. Its centres are tied to the least of them, which many members repeat.
-    few = few.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("centres"))
-    few = few.select("a", F.explode(F.array_append("centres", F.col("b"))).alias("b")).where("a <> b")
-    many = stage_table(met.where((F.col("n") > small) & (F.col("b") != F.col("a"))).select("key", "a", "b"), "near-many")
-    return (few if many.isEmpty() else few.union(_led_links(many, nodes, words, limit))).distinct()
-
-
-def _led_links(met: DataFrame, nodes: DataFrame, words: int, limit: int) -> DataFrame:
-    """``a, b``: links within large buckets ``met(key, a, b)``, where ``a`` is the smallest member.
-
-    In each round the smallest open node of a bucket (later of each of its lanes, so that few rounds are needed) leads:
-    the bucket's other members become candidates with it, equal candidates of different buckets are verified once, and
-    linked members are no longer open. The next leaders meet all members again, linked ones too. It ends when no bucket
-    has an open node; every member has then led or is linked. Two linked members of unlinked leaders are not compared.
-    """
-    turn, done, waiting, led = met, [], None, None
-    while True:
-        pairs = turn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage_table(pairs, "near-pairs")
-        left = nodes.select(F.col("node").alias("a"), *(F.col(f"w{k}").alias(f"x{k}") for k in range(words)))
-        right = nodes.select(F.col("node").alias("b"), *(f"w{k}" for k in range(words)))
-        apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(1, words)), F.bit_count(F.col("w0").bitwiseXOR(F.col("x0"))))
-        near = stage_table(pairs.join(left, "a").join(right, "b").where(apart <= limit).select("a", "b"), "near-links")
-        done.append(near)
-        # Open members: not linked to a leader of this round, and not leaders themselves.
-        known = near.select(F.col("a").alias("p"), F.col("b").alias("q"))
-        low, high = F.least("a", "b"), F.greatest("a", "b")
-        tried = turn.select("key", "b", low.alias("p"), high.alias("q"))
-        if waiting is None:
-            state = tried.join(known, ["p", "q"], "left_anti").select("key", "b")
-        else:
-            linked = tried.join(known, ["p", "q"], "left_semi").select("key", "b").distinct()
-            state = waiting.join(led, ["key", "b"], "left_anti").join(linked, ["key", "b"], "left_anti")
-        waiting = stage_table(state, "near-open")
-        lanes = min(64, 4 ** len(done))
-        led = waiting.groupBy("key", F.pmod(F.xxhash64("b"), F.lit(lanes)).alias("lane")).agg(F.min("b").alias("b")).select("key", "b")
-        led = stage_table(led, "near-lead")
-        if led.isEmpty():
-            break
-        heads = led.select("key", F.col("b").alias("a"))
-        turn = stage_table(met.select("key", "b").join(heads, "key").where("a <> b"), "near-met")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out.distinct()
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of one text; fewer words: of the whole sequence; none: empty."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(max(1, len(each) - shingle + 1), np.uint64)
+    for k in range(min(shingle, len(each))):
+        out += _remixed(each[k : k + len(out)], k) if len(each) >= shingle else _remixed(each[k : k + 1], k)
+    return np.unique(_remixed(out + np.uint64(min(shingle, len(each))), shingle))
 
 
-def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, segments: int = 8, ball_radius: int = 1, limit: int = 84, small: int = 1024
-) -> DataFrame:
-    """``doc_id, component_id`` for every row, approximately: see :func:`jaccard_components` for the exact form.
-
-    Texts whose five-word shingles are some 0.8 alike or more are likely to share a component.
-
-    Fingerprints of ``64 * words`` bits are linked when at most ``limit`` bits differ (84 of 512 stand for a Jaccard
-    similarity of 0.77, one standard deviation below 0.8) and when one of the first ``segments`` 32-bit segments
-    differs in at most twice ``ball_radius`` bits, where balls of that radius meet. ``segments`` buys recall with
-    ``33 * segments`` variants a fingerprint; 32 bits keep chance meetings rare up to some ten million documents.
-    ``component_id`` is the smallest id reachable. Equal fingerprints are one node, so copies cost one row in the
-    shuffle. Null, empty and blank texts share the zero fingerprint. Rows of a null id keep it, link nothing, and take
-    the component of an equal fingerprint, else null. Repeated rows each appear; an id that comes with several texts
-    stands for the least of their fingerprints, the others' rows have a null component unless an equal text has one.
-    An empty table gives an empty result. Other columns are ignored, whatever their names.
-    """
-    names = [f"w{k}" for k in range(words)]
-    rows = stage_table(wide_fingerprints(docs, id_col, text_col, shingle, words), "near")
-    prints = rows.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node"))
-    nodes = stage_table(prints.groupBy("node").agg(F.min(F.struct(*names)).alias("w")).select("node", "w.*"), "near-nodes")
-    edges = stage_table(near_links(nodes, words, segments, ball_radius, limit, small), "near-edges")
-    labels = connected_components(edges, "near-cc")
-    of_print = stage_table(nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id")), "near-class")
-    return rows.join(of_print, names, "left").select("doc_id", "component_id")
+#: Bits of a segment of the near fingerprint that an anchor selects, and the balls its variants fill.
+SEGMENT_BITS = 16
 
 
-def set_of(text: str | None, shingle: int, percent: int) -> tuple[int, int, int, np.ndarray, bytes, bytes]:
-    """One text as the set of its word shingles: 128 bits that name the set, its size, its prefix, its parities, its hashes.
+def near_print_of(text: str | None, shingle: int, segments: int, words: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """``name, n, prints, bases, values`` of the set of word shingles of one text.
 
-    The prefix holds the least hashes, as many as any set of ``percent`` Jaccard similarity must share at least one of.
-    The parities tell for each of some 2 to 4 times as many bits as there are hashes whether an odd number of hashes falls
-    on it: two sets differ in at least as many members as parities. An empty set is named 0, 0.
+    ``name``: 64 bits that name the set, 0 for the empty one; ``n``: its size; ``prints``: ``words`` times 64 SimHash bits
+    over the set; ``bases``: for each segment its 16 SimHash bits below 48 bits of its anchor, the shingle that is least
+    under the segment's own hash (two sets of similarity J have an anchor in common with probability J).
     """
-    values = np.unique(shingle_hashes(text, shingle))
-    n, body = len(values), values.tobytes()
-    if not n:
-        return 0, 0, 0, values, b"", b""
-    width = max(512, 1 << (2 * n - 1).bit_length())
-    odd = np.bincount((_mixed(values, 0) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    name = xxhash.xxh3_128_intdigest(body, SEED)
-    return name >> 64, name & ((1 << 64) - 1), n, values[: n - -(-percent * n // 100) + 1], np.packbits(odd.astype(np.uint8)).tobytes(), body
-
-
-SET = "doc_id long, p0 long, p1 long, n long, prefix array<long>, odd binary, body binary"
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """:data:`SET` for every row, see :func:`set_of`."""
+    values = shingle_set(text, shingle)
+    if not len(values):
+        return 0, 0, np.zeros(words, np.uint64), np.zeros(segments, np.uint64), values
+    ones = bit_counts(_remixed(values[:, None], slice(16, 16 + words)))
+    prints = np.packbits(2 * ones > len(values)).view(">u8").astype(np.uint64)
+    per, low = 64 // SEGMENT_BITS, np.uint64((1 << SEGMENT_BITS) - 1)
+    anchors = (values[:, None] * _ODD[32 : 32 + segments]).min(axis=0)
+    cut = np.array([prints[k // per] >> np.uint64(SEGMENT_BITS * (k % per)) for k in range(segments)], np.uint64)
+    bases = _remixed(anchors, slice(32, 32 + segments)) & ~low | cut & low
+    return xxhash.xxh3_64_intdigest(values.tobytes(), SEED) or 1, len(values), prints, bases, values
+
+
+def near_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, segments: int, words: int) -> DataFrame:
+    """``doc_id, node, n, w0, w1, ..., bases`` for every row, see :func:`near_print_of`."""
+    names = ["doc_id", "node", "n", *(f"w{k}" for k in range(words)), "bases"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                p0, p1, n, prefix, odd, body = zip(*(set_of(t, shingle, percent) for t in batch.column(1).to_pylist()), strict=True)
-                ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))
-                names = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (p0, p1))
-                columns = [batch.column(0), *names, pa.array(n, pa.int64()), prefix, pa.array(odd, pa.binary()), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p0", "p1", "n", "prefix", "odd", "body"])
+                node, n, prints, bases, _ = zip(*(near_print_of(t, shingle, segments, words) for t in batch.column(1).to_pylist()), strict=True)
+                prints = np.stack(prints).view(np.int64)
+                ends = pa.array(np.arange(0, (len(node) + 1) * segments, segments, dtype=np.int32))
+                bases = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bases).view(np.int64)))
+                columns = (pa.array(np.ascontiguousarray(prints[:, k])) for k in range(words))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), *columns, bases], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, SET)
+    return rows.mapInArrow(each, ", ".join(["doc_id long, node long, n long", *(f"w{k} long" for k in range(words)), "bases array<long>"]))
 
 
-def _closed(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+def closed(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     """The least member each of ``count`` members reaches. ``near(i, others)`` tells which others ``i`` is linked to.
 
     A member meets only those no one has reached yet: every pair across two groups is compared, and a dense group takes
@@ -367,40 +257,27 @@ def _closed(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.nda
     return label
 
 
-def parity_groups(sizes: np.ndarray, odds: list[bytes], percent: int) -> np.ndarray:
-    """Groups linked where sizes and parities leave ``percent`` similarity possible; no pair that has it is missed.
-
-    Of widths that differ, the wider parities are folded once; sizes allow no more.
-    """
-    own = np.array([len(x) // 8 for x in odds])
-    at = np.zeros(len(own), np.int64)
-    table, folded = {}, {}
-    for w in np.unique(own).tolist():
-        here = np.flatnonzero(own == w)
-        at[here] = np.arange(len(here))
-        table[w] = np.frombuffer(b"".join(odds[i] for i in here), np.uint64).reshape(-1, w)
-        folded[w] = table[w][:, : w // 2] ^ table[w][:, w // 2 :]
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        n, w = sizes[others], int(own[i])
-        fits = (100 * n >= percent * sizes[i]) & (100 * sizes[i] >= percent * n)
-        apart = np.zeros(len(others), np.int64)
-        for v, mine, theirs in ((w, table[w][at[i]], table), (2 * w, table[w][at[i]], folded), (w // 2, folded[w][at[i]], table)):
-            here = np.flatnonzero(fits & (own[others] == v))
-            if len(here):
-                apart[here] = np.bitwise_count(theirs[v][at[others[here]]] ^ mine).sum(axis=1)
-        return fits & ((100 + percent) * apart <= (100 - percent) * (n + sizes[i]))
-
-    return _closed(len(own), near)
+def print_groups(starts: np.ndarray, prints: np.ndarray, limit: int) -> np.ndarray:
+    """For each row the first row its bucket links it to, by at most ``limit`` differing bits; buckets begin at ``starts``."""
+    sizes = np.diff(np.append(starts, len(prints)))
+    label = np.repeat(starts, sizes)
+    apart = np.bitwise_count(prints ^ prints[label]).sum(axis=1, dtype=np.int64) > limit
+    if apart.any():
+        for g in np.flatnonzero(np.add.reduceat(apart, starts)).tolist():
+            begin, n = int(starts[g]), int(sizes[g])
+            own = prints[begin : begin + n]
+            label[begin : begin + n] = begin + closed(n, lambda i, others, own=own: np.bitwise_count(own[others] ^ own[i]).sum(axis=1) <= limit)
+    return label
 
 
-def jaccard_groups(sizes: np.ndarray, bodies: list[bytes], percent: int) -> np.ndarray:
-    """Groups linked by an exact Jaccard similarity of ``percent`` or more."""
-    values = [np.frombuffer(x, np.uint64) for x in bodies]
+def set_groups(prints: np.ndarray, values: list[np.ndarray], limit: int, percent: int) -> np.ndarray:
+    """The least member each set reaches by links of ``percent`` Jaccard similarity (and ``limit`` bits) or better."""
+    sizes = np.array([len(v) for v in values])
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
         n, out = sizes[others], np.zeros(len(others), bool)
-        fits = np.flatnonzero((100 * n >= percent * sizes[i]) & (100 * sizes[i] >= percent * n))
+        fits = (100 * n >= percent * sizes[i]) & (100 * sizes[i] >= percent * n)
+        fits = np.flatnonzero(fits & (np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1) <= limit))
         for begin in range(0, len(fits), 4096):
             some = fits[begin : begin + 4096]
             flat = np.concatenate([values[k] for k in others[some]])
@@ -409,81 +286,128 @@ def jaccard_groups(sizes: np.ndarray, bodies: list[bytes], percent: int) -> np.n
             out[some] = 100 * both >= percent * (n[some] + sizes[i] - both)
         return out
 
-    return _closed(len(values), near)
+    return closed(len(values), near)
 
 
-def _grouped(rows: DataFrame, group: str, blob: str, groups, percent: int) -> DataFrame:
-    """``a, b``: for each ``group`` of ``rows(group, node, n, blob)`` a star from the least to the other nodes of each of its groups.
+def dealt(rows: DataFrame, group: str, weight: str, most: int, *columns: str) -> DataFrame:
+    """``sub, node, columns``: the rows of each ``group`` by subgroups that stream through in order.
 
-    Rows stream through sorted, so that one group at a time is in memory and batches stay small.
+    A group whose ``weight`` exceeds ``most`` is dealt into blocks of about that weight by node, and each pair of its blocks
+    is a subgroup of its own: all members still meet, no task holds more than two blocks, and no group goes to one task.
     """
+    blocks = F.ceil(F.col(weight) / most).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    subs = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: (o != F.col("_mine")) | (F.col("_blocks") == 1)),
+        lambda o: F.xxhash64(F.col(group), F.least(o, F.col("_mine")), F.greatest(o, F.col("_mine"))),
+    )
+    cut = rows.withColumn("_blocks", blocks).withColumn("_mine", mine)
+    return cut.select(F.explode(subs).alias("sub"), "node", *columns).repartition("sub").sortWithinPartitions("sub", "node")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole subgroups (column 0, sorted) from a stream of batches; the last subgroup of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[-1].column(0)[0].as_py() != int(keys[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(cuts):
+            held.append(batch.slice(0, int(cuts[-1])))
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        node, n = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2))
-        blobs = [x for p in parts for x in p.column(3).to_pylist()]
-        order = np.argsort(node)
-        label = groups(n[order], [blobs[i] for i in order], percent)
-        node = node[order]
-        kept = node[label] != node
-        return pa.RecordBatch.from_arrays([pa.array(node[label][kept]), pa.array(node[kept])], names=["a", "b"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = [], None
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if i == j:
-                    continue
-                if held and keys[i] != of:
-                    yield links(held)
-                    held = []
-                of = keys[i]
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield links(held)
-
-    dealt = rows.select(group, "node", "n", blob).repartition(group).sortWithinPartitions(group)
-    return dealt.mapInArrow(each, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, component_id`` for every row: texts linked by a Jaccard similarity of ``percent`` or more, exactly.
-
-    Similarity is of the sets of ``shingle``-word shingles. Two sets that are alike enough share one of their prefixes'
-    hashes, so each meets the other in some bucket; a bucket of any size gives a star for each of its groups by parity,
-    which loses no pair. The components of these stars are then split by exact similarity, one component at a time in
-    memory. Null, empty and blank texts are one node; null and repeated ids are treated as in :func:`near_components`.
+def _star(node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    kept = label != np.arange(len(node))
+    return pa.RecordBatch.from_arrays([pa.array(node[label[kept]]), pa.array(node[kept])], names=["a", "b"])
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+
+
+def near_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, segments: int = 6, words: int = 4, limit: int = 60,
+    block_rows: int = 50_000, block_shingles: int = 4_000_000,
+) -> DataFrame:
+    """``doc_id, component_id`` for every row: texts whose ``shingle``-word shingles are ``percent`` alike or more, linked.
+
+    Ball hashing over a fingerprint of ``64 * words`` SimHash bits of the set of shingles. At 0.8 similarity 15 % of the
+    bits differ, too many for a ball over all of them, so each of ``segments`` 16-bit segments emits its own ball of one bit
+    (two meet at up to two differing bits) under the anchor of the segment; without the anchor, 16 bits would meet by chance.
+    A pair of similarity 0.8 meets in a segment with probability 0.44, in one of six with 0.97. Members of a variant's
+    bucket that differ in at most ``limit`` bits (3.7 standard deviations over the mean at 0.8) are linked loosely, and the
+    components of these links are split by exact similarity of their sets (64-bit hashes of shingles). Buckets over
+    ``block_rows`` rows and components over ``block_shingles`` shingles are compared in pairs of blocks, see :func:`dealt`.
+
+    ``component_id`` is the smallest id reachable. Equal sets are one node, so copies cost one row in a shuffle. Null,
+    empty and blank texts are one node. Rows of a null id keep it, link nothing, and take the component of an equal set,
+    else null. Repeated rows each appear; an id that comes with several texts has a row for each. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
-    rows = stage_table(shingle_sets(docs, id_col, text_col, shingle, percent), "sets")
-    prints = rows.where("doc_id is not null").groupBy("p0", "p1").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stage_table(prints.groupBy("doc_id").agg(F.min(F.struct("p0", "p1")).alias("p")).select("doc_id", "p.*"), "set-nodes")
-
-    def own(of: DataFrame, *columns: str) -> DataFrame:
-        """``columns`` of the rows that nodes ``of(node, p0, p1, ...)`` stand for; dealt by id alone, so once. Repeated rows repeat."""
-        pick = rows.select(F.col("doc_id").alias("node"), F.col("p0").alias("q0"), F.col("p1").alias("q1"), *columns)
-        same = F.col("p0").bitwiseXOR(F.col("q0")).bitwiseOR(F.col("p1").bitwiseXOR(F.col("q1"))) == 0
-        return pick.join(of, "node").where(same).drop("p0", "p1", "q0", "q1")
-
-    of_id = nodes.withColumnRenamed("doc_id", "node")
-    met = own(of_id, "prefix").select("node", F.explode("prefix").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("members"))
-    met = met.where(F.size("members") > 1).select("members").distinct()  # copies of one text meet in many equal buckets
-    met = stage_table(met.select(F.xxhash64("members").alias("bucket"), "members"), "set-buckets")
-    met = met.select("bucket", F.explode("members").alias("node")).distinct()
-    loose = _grouped(met.join(own(of_id, "n", "odd").dropDuplicates(["node"]), "node"), "bucket", "odd", parity_groups, percent)
-    # A node's centres are tied to the least of them, which many nodes repeat.
-    loose = loose.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("centres"))
-    loose = loose.select("a", F.explode(F.array_append("centres", F.col("b"))).alias("b")).where("a <> b").distinct()
-    near = connected_components(stage_table(loose, "set-loose"), "set-cc")
-    bodies = own(of_id.join(near, "node"), "n", "body").dropDuplicates(["node"])
-    exact = stage_table(_grouped(bodies, "label", "body", jaccard_groups, percent), "set-exact")
-    labels = nodes.join(exact.select(F.col("b").alias("doc_id"), F.col("a").alias("label")), "doc_id", "left")
-    of_print = stage_table(labels.select("p0", "p1", F.coalesce("label", "doc_id").alias("component_id")), "set-class")
-    return rows.select("doc_id", "p0", "p1").join(of_print, ["p0", "p1"], "left").select("doc_id", "component_id")
+    names = [f"w{k}" for k in range(words)]
+    rows = stage_table(near_prints(docs, id_col, text_col, shingle, segments, words), "near")
+    first = [F.first(c).alias(c) for c in ("n", *names, "bases")]
+    nodes = stage_table(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first), "near-nodes")
+
+    masks = F.explode(F.array(*(F.lit(m).cast("long") for m in ball(SEGMENT_BITS, 1)))).alias("mask")
+    keyed = nodes.where("n > 0").select("node", F.explode("bases").alias("base")).select("node", "base", masks)
+    keyed = keyed.select(F.col("base").bitwiseXOR(F.col("mask")).alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = stage_table(keyed.join(shared, "key"), "near-met")
+
+    def loosely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            keys, node, *prints = (c.to_numpy() for c in table.columns)
+            yield _star(node, print_groups(_starts(keys), np.stack(prints, axis=1).view(np.uint64), limit))
+
+    bucketed = dealt(met.join(nodes.select("node", *names), "node"), "key", "size", block_rows, *names)
+    loose = connected_components(stage_table(bucketed.mapInArrow(loosely, "a long, b long").distinct(), "near-loose"), "near-cc")
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            keys = table.column(0).to_numpy()
+            cuts = [*_starts(keys).tolist(), len(keys)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                node, prints, values = [], [], []
+                for own, text in zip(table.column(1)[begin:end], table.column(2)[begin:end], strict=True):
+                    name, _, bits, _, body = near_print_of(text.as_py(), shingle, 0, words)
+                    if np.uint64(name).view(np.int64) == own.as_py() and (not node or node[-1] != own.as_py()):  # not another text of a repeated id
+                        node.append(own.as_py())
+                        prints.append(bits)
+                        values.append(body)
+                if node:
+                    yield _star(np.array(node, np.int64), set_groups(np.stack(prints), values, limit, percent))
+
+    members = loose.join(nodes.select("node", "doc_id", "n"), "node")
+    sizes = members.groupBy("label").agg(F.sum("n").alias("weight"))
+    members = stage_table(members.join(sizes, "label").select("node", "label", "weight", F.col("doc_id").alias("id")), "near-members")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    bodies = dealt(texts.join(members, "id"), "label", "weight", block_shingles, "text")
+    near = connected_components(stage_table(bodies.mapInArrow(exactly, "a long, b long").distinct(), "near-exact"), "near-exact-cc")
+
+    label = nodes.select("node", "doc_id").join(near, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_node = stage_table(label.join(least, "label").select("node", "component_id"), "near-class")
+    return rows.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
-    """``docs`` without the members of a near component other than the one with the smallest id (null ids stay)."""
-    groups = jaccard_components(docs, id_col, text_col, **parameters)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gl_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gl_gone"), "left_anti")
+    """``docs`` without the members of a near component other than the one with the smallest id.
+
+    Rows of a null id stay. An id that comes with several texts stays whole if one of them stays. Repeated rows of an id
+    that stays all stay; an empty table stays empty. Columns pass through, whatever their names.
+    """
+    groups = near_components(docs, id_col, text_col, **parameters)
+    gone = free_name(docs, "gone")
+    out = groups.groupBy(F.col("doc_id").alias(gone)).agg(F.min(F.col("component_id") < F.col("doc_id")).alias("all")).where("all").select(gone)
+    return docs.join(out, F.col(id_col).cast("long") == F.col(gone), "left_anti")

@@ -83,9 +83,9 @@ def jaccard(x, y):
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def near_brute(texts, limit=84, segments=8):
-    """Smallest reachable id over all pairs that share a segment up to two bits and differ in at most ``limit`` bits."""
-    prints = {i: simhash.wide_fingerprint_of(t) for i, t in texts.items()}
+def exact_groups(texts):
+    """Smallest reachable id over all pairs of a Jaccard similarity of 0.8 or more."""
+    sets = {i: five_words(t) for i, t in texts.items()}
     parent = {i: i for i in texts}
 
     def find(x):
@@ -95,50 +95,12 @@ def near_brute(texts, limit=84, segments=8):
 
     for a in texts:
         for b in texts:
-            if a < b:
-                apart = [x ^ y for x, y in zip(prints[a], prints[b], strict=True)]
-                halves = [(apart[s // 2] >> 32 * (s % 2)) & 0xFFFFFFFF for s in range(segments)]
-                if sum(x.bit_count() for x in apart) <= limit and min(h.bit_count() for h in halves) <= 2:
-                    x, y = sorted((find(a), find(b)))
-                    parent[y] = x
+            if a < b and jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
     return {i: find(i) for i in texts}
 
 
-@pytest.mark.parametrize("small", [1024, 4])
-def test_near_components(spark, small):
-    """Against all pairs; the share of five-word near copies found; unrelated texts stay apart."""
-    rng = random.Random(5)
-    pool = [f"{w}{k}" for w in WORDS for k in range(40)]
-    texts = {k: " ".join(rng.choices(pool, k=rng.randint(60, 200))) for k in range(120)}
-    for k in range(120, 320):
-        words = texts[k % 60].split()
-        for _ in range(rng.randint(0, 4)):
-            words[rng.randrange(len(words))] = rng.choice(pool)
-        texts[k] = " ".join(words)
-    for k in range(320, 420):  # a dense group of one hot text
-        words = texts[3].split()
-        words[rng.randrange(len(words))] = rng.choice(pool)
-        texts[k] = " ".join(words)
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("w0", F.lit("x")).withColumn("node", F.lit(1))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(rows.repartition(3), small=small).collect()}
-    assert got == near_brute(texts)
-    sets = {i: five_words(t) for i, t in texts.items()}
-    near = [(a, b) for a in texts for b in texts if a < b and jaccard(sets[a], sets[b]) >= 0.8]
-    assert len(near) > 3000 and sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
-    assert all((got[a] == got[b]) <= (a % 60 == b % 60 or max(a, b) >= 320) for a in texts for b in texts if a < 320 and b < 320)
-
-
-def test_near_components_edges(spark):
-    rows = [(5, None), (2, " "), (None, "a b c"), (9, "A  b\nc"), (9, "A  b\nc"), (4, "x y"), (4, "p q r s t u v"), (7, "w " * 5000), (8, "w " * 4000), (None, None)]
-    found = simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    got = Counter((r["doc_id"], r["component_id"]) for r in found)
-    assert got[(5, 2)] == got[(2, 2)] == 1 and got[(None, 9)] == 1 and got[(9, 9)] == 2 and got[(None, 2)] == 1 and got[(7, 7)] == got[(8, 7)] == 1
-    assert sum(n for (i, _), n in got.items() if i == 4) == 2 and len(found) == len(rows)
-    assert simhash.near_components(empty(spark)).collect() == []
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "9", "9", "4", "4", "7", "None", "None"])
-
-
 def edited(rng, text, pool, n):
     words = text.split()
     for k in rng.sample(range(len(words)), n):
@@ -146,73 +108,88 @@ def edited(rng, text, pool, n):
     return " ".join(words)
 
 
-def exact_groups(texts):
-    """Smallest reachable id over all pairs of a Jaccard similarity of 0.8 or more."""
-    sets = {i: five_words(t) for i, t in texts.items()}
-    parent = {i: i for i in texts}
+def near(spark, texts, **parameters):
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("w0", F.lit("x")).withColumn("node", F.lit(1)).withColumn("gone", F.lit(2))
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_components(rows.repartition(3), **parameters).collect()}
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a in texts:
-        for b in texts:
-            if a < b and jaccard(sets[a], sets[b]) >= 0.8:
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {i: find(i) for i in texts}
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 20, "block_shingles": 3000}])
+def test_near_components(spark, blocks):
+    """Against all pairs: a dense group of one hot text, smaller groups, and texts that are alone; also in small blocks."""
+    rng = random.Random(5)
+    pool = [f"{w}{k}" for w in WORDS for k in range(40)]
+    texts = {k: " ".join(rng.choices(pool, k=rng.randint(60, 200))) for k in range(120)}
+    for k in range(120, 220):
+        texts[k] = edited(rng, texts[k % 60], pool, rng.randint(0, 3))
+    for k in range(220, 320):  # a dense group of one hot text
+        texts[k] = edited(rng, texts[3], pool, 1)
+    exact, got = exact_groups(texts), near(spark, texts, **blocks)
+    assert len(set(exact.values())) > 100 and sum(got[i] == exact[i] for i in texts) >= 0.97 * len(texts)
+    assert all(exact[i] == exact[got[i]] for i in texts)  # no link below the threshold
 
 
-def test_jaccard_pairs(spark):
-    """Isolated edited copies, short and long, on both sides of 0.8: all pairs at or above it meet, none below."""
+def test_near_pairs(spark):
+    """Isolated edited copies, short and long, on both sides of 0.8: those at or above it meet (19 of 20), none below."""
     rng = random.Random(8)
     pool = [f"{w}{k}" for w in WORDS for k in range(40)]
     texts = {}
-    for k in range(0, 300, 2):
+    for k in range(0, 400, 2):
         texts[k] = " ".join(rng.choices(pool, k=rng.choice((4, 6, 9, 14, 40, 130, 270, 600, 1500))))
         n = len(texts[k].split())
         texts[k + 1] = edited(rng, texts[k], pool, rng.randint(1, 1 + n // 40)) if k % 3 else texts[k] + " " + " ".join(rng.choices(pool, k=1 + n // rng.randint(3, 12)))
     sets = {i: five_words(t) for i, t in texts.items()}
-    alike = [jaccard(sets[k], sets[k + 1]) for k in range(0, 300, 2)]
-    assert sum(0.8 <= x < 0.86 for x in alike) > 15 and sum(0.7 < x < 0.8 for x in alike) > 15
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    assert {r["doc_id"]: r["component_id"] for r in simhash.jaccard_components(rows).collect()} == exact_groups(texts)
-    kept = {r["doc_id"] for r in simhash.keep_first(rows).collect()}
-    assert kept == {i for i, low in exact_groups(texts).items() if i == low}
+    alike = {k: jaccard(sets[k], sets[k + 1]) for k in range(0, 400, 2)}
+    assert sum(0.8 <= x < 0.86 for x in alike.values()) > 15 and sum(0.7 < x < 0.8 for x in alike.values()) > 15
+    got = near(spark, texts)
+    due = [k for k, x in alike.items() if x >= 0.8]
+    assert sum(got[k + 1] == k for k in due) >= 0.95 * len(due)
+    assert all(got[i] == i for k, x in alike.items() if x < 0.8 for i in (k, k + 1))
 
 
-def test_jaccard_chain(spark):
-    """A chain of drifting copies in one large bucket, ends unlike, is one group; a chain cut in the middle is two."""
+def test_near_chain(spark):
+    """A chain of drifting copies, ends unlike, is one group, also in small blocks; a chain cut in the middle is two."""
     rng = random.Random(9)
     pool = [f"{w}{k}" for w in WORDS for k in range(40)]
     head, texts = " ".join(rng.choices(pool, k=30)), {}
-    for first, n in ((0, 700), (5000, 500)):
-        tail = rng.choices(pool, k=170)
-        for k in range(n):
-            tail[(7 * k) % 170] = rng.choice(pool)
-            texts[first + k] = head + " " + " ".join(tail)
+    tail = rng.choices(pool, k=170)
+    for k in range(400):
+        tail[(7 * k) % 170] = rng.choice(pool)
+        texts[k] = head + " " + " ".join(tail)
     sets = {i: five_words(t) for i, t in texts.items()}
-    assert jaccard(sets[0], sets[699]) < 0.2 and all(jaccard(sets[k], sets[k + 1]) >= 0.8 for k in range(699))
-    found = simhash.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
-    assert {r["doc_id"]: r["component_id"] for r in found} == {i: 0 if i < 5000 else 5000 for i in texts}
-    rest = [r for i, r in enumerate(texts.items()) if not 300 <= i < 400]
-    found = simhash.jaccard_components(spark.createDataFrame(rest, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["component_id"] for r in found} == exact_groups(dict(rest))
-
-
-def test_parity_groups():
-    """A drifting chain through one bucket of over 1,024 members stays one group, and its ends are unlike."""
-    rng = random.Random(10)
-    words = [f"w{k}" for k in range(200)]
-    odds, sizes = [], []
-    for k in range(1500):
-        words[(7 * k) % 200] = f"x{rng.random()}"
-        _, _, n, _, odd, _ = simhash.set_of(" ".join(words), 5, 80)
-        odds.append(odd)
-        sizes.append(n)
-    assert set(simhash.parity_groups(np.array(sizes), odds, 80).tolist()) == {0}
-    assert simhash.parity_groups(np.array(sizes)[[0, -1]], [odds[0], odds[-1]], 80).tolist() == [0, 1]
+    assert jaccard(sets[0], sets[399]) < 0.2 and all(jaccard(sets[k], sets[k + 1]) >= 0.8 for k in range(399))
+    assert set(near(spark, texts, block_rows=30, block_shingles=4000).values()) == {0}
+    rest = {i: t for i, t in texts.items() if not 150 <= i < 250}
+    assert near(spark, rest) == exact_groups(rest)
+
+
+def test_near_parts():
+    """Buckets by bits and sets by similarity against all pairs; shingle sets against sets of strings."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    prints = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 63, (15, 4), dtype=np.uint64)) for b in base[[0, 1, 0, 2]]])
+    starts = np.array([0, 7, 30])
+    label = simhash.print_groups(starts, prints, 7)
+    for lo, hi in ((0, 7), (7, 30), (30, 60)):
+        own = np.bitwise_count(prints[lo:hi, None] ^ prints[None, lo:hi]).sum(axis=2) <= 7
+        reach = np.linalg.matrix_power(own.astype(float), 64) > 0
+        assert (label[lo:hi] == lo + reach.argmax(axis=1)).all()
+    words = [random.Random(3).choice(WORDS) for _ in range(300)]
+    for n in (0, 1, 4, 5, 6, 300):
+        text = " ".join(words[:n])
+        assert len(simhash.shingle_set(text, 5)) == len(five_words(text))
+    a, b = (set(simhash.shingle_set(" ".join(words[k : k + 200]), 5).tolist()) for k in (0, 50))
+    assert len(a & b) == len(five_words(" ".join(words[:200])) & five_words(" ".join(words[50:250])))
+
+
+def test_near_components_edges(spark):
+    rows = [(5, None), (2, " "), (None, "a b c"), (9, "A  b\nc"), (9, "A  b\nc"), (4, "x y"), (4, "p q r s t u v"), (7, "w " * 5000), (8, "w " * 4000), (None, None)]
+    found = simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["component_id"]) for r in found)
+    assert got[(5, 2)] == got[(2, 2)] == 1 and got[(None, 9)] == 1 and got[(9, 9)] == 2 and got[(None, 2)] == 1 and got[(7, 7)] == got[(8, 7)] == 1
+    assert sum(n for (i, _), n in got.items() if i == 4) == 2 and len(found) == len(rows)
+    assert simhash.near_components(empty(spark)).collect() == []
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "9", "9", "4", "4", "7", "None", "None"])
 
 
 def test_simhash_edges(spark):
