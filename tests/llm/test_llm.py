@@ -494,7 +494,6 @@ def test_packing(spark, docs, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     extra = [(300, "<|endoftext|> don't 中文 \U0001f600\x00 a b"), (301, prose(random.Random(1), 6000))]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = packing.pack(both, capacity=256).collect()
@@ -518,26 +517,65 @@ def test_packing(spark, docs, corpus):
     assert packing.pack(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(8))
 def test_plans(seed):
+    """Every length is placed, bins are gapless and never overfull, and the plan is near best fit decreasing or better."""
     rng = random.Random(seed)
     histogram = Counter(rng.choice([rng.randint(1, 100), rng.randint(20, 40), 100, 51, 34]) for _ in range(rng.choice([1, 50, 3000])))
     bound = -(-sum(n * c for n, c in histogram.items()) // 100)
-    for plan in (packing.linear_grouping(histogram, 100, 8, 0.25), packing.best_fit_decreasing(histogram, 100), packing.make_plan(histogram, 100)):
+    for groups, large in ((256, 1 / 3), (8, 0.25), (16, 0.5)):
+        plan = packing.linear_grouping(histogram, 100, groups, large)
         assert plan.rank == dict(histogram)
         fill = defaultdict(list)
         for length, lo, hi, first, offset in plan.runs:
             for k in range(hi - lo):
                 fill[first + k].append((offset, length))
-        assert len(fill) == plan.sequences
+        assert len(fill) == plan.sequences >= bound
         for places in fill.values():
             at = 0
             for offset, length in sorted(places):
                 assert offset == at
                 at += length
             assert at <= 100
-    best = packing.make_plan(histogram, 100).sequences
-    assert best <= packing.best_fit_decreasing(histogram, 100).sequences and best >= bound
+        if groups == 256 and sum(histogram.values()) > 1000:
+            plain = packing._Plan(100)
+            for length, count in sorted(histogram.items(), reverse=True):
+                plain.best_fit(length, count)
+            assert plan.sequences <= 1.02 * plain.sequences
+    assert packing.linear_grouping({}, 100).sequences == 0
+
+
+def test_configurations():
+    """Column generation against known optima, and its best filling against all fillings."""
+    out = packing.configurations([60, 50, 40], [100, 100, 100], 100)
+    assert sum(t for _, t in out) == 150
+    used = Counter(k for c, t in out for k in c for _ in range(t))
+    assert used == {0: 100, 1: 100, 2: 100}
+    out = packing.configurations([41, 34, 25], [7, 9, 30], 100)
+    assert all(sum([41, 34, 25][k] for k in c) <= 100 for c, _ in out) and Counter(k for c, t in out for k in c for _ in range(t)) == {0: 7, 1: 9, 2: 30}
+    rng = random.Random(1)
+    for _ in range(30):
+        sizes = np.array(sorted(rng.sample(range(20, 60), 5), reverse=True))
+        values = np.array([rng.random() for _ in sizes])
+        picked = packing.best_pattern(sizes, values, 100)
+        best = max(values[list(c)].sum() for r in range(6) for c in product(range(5), repeat=r) if sizes[list(c)].sum() <= 100)
+        assert sizes[picked].sum() <= 100 and values[picked].sum() == pytest.approx(best)
+
+
+def test_encoder():
+    """The fast path gives the ids of ``tokenizers``, special tokens, blanks and all scripts included; another kind of tokenizer runs as it is."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(2)
+    marks = ["<|endoftext|>", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "'s", "'LL", "don't", "é", "中", "١٢", "²", "\U0001f600", "\x00", "\x85", "a" * 70, "-" * 40, "Ω"]
+    texts = ["".join(rng.choice(marks + WORDS) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", "x" * 30000, " " * 30000]
+    assert encoder.fast is not None
+    assert all(ids.tolist() == plain.encode(t, add_special_tokens=False).ids for t, ids in zip(texts, encoder.encode_batch(texts), strict=True))
+    other = packing.Encoder(path.replace("byte_bpe_50k", "word_bpe_49k"))
+    want = Tokenizer.from_file(path.replace("byte_bpe_50k", "word_bpe_49k"))
+    assert other.fast is None and [x.tolist() for x in other.encode_batch(texts[:50])] == [want.encode(t, add_special_tokens=False).ids for t in texts[:50]]
 
 
 # ---- 10
