@@ -10,25 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 
-#: Kind -> pattern. Order matters: the first alternative that matches at a place wins.
-KINDS: dict[str, str] = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9\-/])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+#: Kind -> what stands around it and its pattern. Order matters: the first alternative that matches at a place wins. Runs
+#: are possessive and begin where no such run goes on, so that a long run is read once; repeated groups are bounded (a
+#: domain has at most 127 labels) or possessive, which Java matches without recursion.
+AROUND: dict[str, tuple[str, str, str]] = {
+    "email": (r"(?:(?<![A-Za-z0-9._%+\-])|\G)", r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){0,126}\.[A-Za-z]{2,}+", ""),
+    "secret": (r"(?<![A-Za-z0-9])", r"[0-9a-fA-F]{32,64}", r"(?![A-Za-z0-9])"),
+    "ip": (r"(?<![0-9.])", r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}", r"(?![0-9]|\.[0-9])"),
+    "date": (r"(?<![0-9\-/])", r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])", r"(?![0-9\-])"),
+    "phone": (r"(?<![0-9A-Za-z])", r"(?:\+[0-9]{1,3}[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}", r"(?![0-9A-Za-z])"),
+    "ssn": (r"(?<![0-9\-])", r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", r"(?![0-9\-])"),
     # A whole run of numbers, from which _pieces takes the cards: what stands beside a card may look like a part of it.
-    "card": r"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ \-][0-9]++(?![A-Za-z]))*+",
+    "card": (r"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){12})", r"[0-9]++(?![A-Za-z])(?:[ \-][0-9]++(?![A-Za-z]))*+", ""),
 }
+KINDS: dict[str, str] = {kind: "".join(parts) for kind, parts in AROUND.items()}
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 OTHERS = "|".join(f"(?:{p})" for kind, p in KINDS.items() if kind != "card")
 #: A text without any of these characters holds none of the kinds.
 HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|[0-9a-fA-F]{32}"
-#: Days from 1900-01-01 over which dates are permuted (270 x 272, to 2101-01-27): a product, so no walk out of range.
-DAYS = (270, 272)
+#: Days from 1900-01-01 to 2099-12-31, the years of the pattern, as a product: dates are permuted among themselves.
+DAYS = (17, 4297)
+#: Areas (001 to 899 without 666) and pairs of group and serial number, neither zero, of valid SSNs.
+SSNS = (898, 99 * 9999)
+#: Numbers of a run that are looked at together; a card has at most 19.
+CHUNK = 64
 
 
 def _prf(key: str, tweak: Column, step: Column, value: Column) -> Column:
@@ -137,55 +146,86 @@ def _card(key: str, x: Column) -> Column:
     return _let(_only_digits(x), lambda d: F.when(luhn_sum(d, False) % 10 == 0, _refill(x, swap(d))).otherwise(x))
 
 
-def _national(key: str, kind: str, x: Column) -> Column:
-    """All digits but a leading ``+country`` code are permuted."""
+def _phone(key: str, x: Column) -> Column:
+    """All digits but a leading ``+country`` code are permuted. Area codes differ by country, so the shape alone is checked."""
     lead = F.regexp_extract(x, r"^\+[0-9]{1,3}[ .\-]?", 0)
     rest = F.substr(x, F.char_length(lead) + 1, F.char_length(x))
-    return F.concat(lead, _refill(rest, permute_digits(key, F.lit(kind), _only_digits(rest))))
+    return F.concat(lead, _refill(rest, permute_digits(key, F.lit("phone"), _only_digits(rest))))
+
+
+def _ssn(key: str, x: Column) -> Column:
+    """A valid number is permuted among the valid ones."""
+    area, group, serial = (F.split(x, "-")[k].cast("long") for k in range(3))
+    pair = feistel(key, F.lit("ssn"), area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(SSNS[0]), F.lit(SSNS[1]))
+    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    return _let(pair, lambda q: F.concat_ws("-", digits(q["a"] + F.when(q["a"] > 664, 2).otherwise(1), 3), digits(F.floor(q["b"] / 9999) + 1, 2), digits(q["b"] % 9999 + 1, 4)))
 
 
 def kind_of(x: Column) -> Column:
+    """Kind of one match: its bare pattern is the whole match."""
     out = F.lit(None).cast("string")
-    for kind, pattern in reversed(KINDS.items()):
-        bare = pattern
-        for look in (r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])", r"(?<![0-9.])", r"(?![0-9]|\.[0-9])", r"(?<![0-9\-/])", r"(?![0-9\-])", r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])", r"(?<![0-9\-])"):
-            bare = bare.replace(look, "")
-        out = F.when(x.rlike(f"^(?:{bare})$"), F.lit(kind)).otherwise(out)
+    for kind, (_, bare, _) in reversed(AROUND.items()):
+        out = F.when(x.rlike(rf"\A(?:{bare})\z"), F.lit(kind)).otherwise(out)
     return out
 
 
 def _pieces(x: Column) -> Column:
     """A run of numbers in pieces ``m, k``: from the left, the longest sequence of whole numbers that is a card; the
-    other kinds in what is left; the rest, without a kind. The pieces joined are the run."""
+    other kinds in what is left; the rest, without a kind. The pieces joined are the run.
+
+    Cards are chosen chunk by chunk of the run, with only the place to go on carried over, so time grows with the run.
+    """
     part = lambda m, k: F.struct(m.alias("m"), (F.lit(k).cast("string") if isinstance(k, str | None) else k).alias("k"))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+
+    def valid(digits: Column) -> Column:
+        return _let(digits, lambda d: F.char_length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0))
 
-    def cards(g: Column) -> Column:
-        run = lambda i, j: F.array_join(F.slice(g, i + 1, j - i + 1), "")
+    def picks(g: Column) -> Column:
+        """First and last number of each card, in order."""
 
-        def valid(digits: Column) -> Column:
-            return _let(digits, lambda d: F.char_length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0))
+        def chunk(acc: Column, c: Column) -> Column:
+            base = c * CHUNK
 
-        def step(acc: Column, i: Column) -> Column:
-            ends = F.sequence(i, F.least(i + 18, F.size(g) - 1))
-            last = F.when(i >= acc["next"], F.array_max(F.filter(ends, lambda j: valid(_only_digits(run(i, j))))))
+            def inside(near: Column) -> Column:
+                run = lambda i, j: F.array_join(F.slice(near, i - base + 1, j - i + 1), "")
 
-            def turn(j: Column) -> Column:
-                body = F.rtrim(F.regexp_replace(run(i, j), "-$", ""))
-                found = F.concat(acc["out"], F.array(part(acc["rest"], None), part(body, "card")))
-                rest = F.when(i < acc["next"], acc["rest"]).when(j.isNull(), F.concat(acc["rest"], g[i])).otherwise(F.regexp_extract(g[j], "[^0-9]*$", 0))
-                return F.struct(F.coalesce(j + 1, acc["next"]).alias("next"), rest.alias("rest"), F.when(j.isNull(), acc["out"]).otherwise(found).alias("out"))
+                def step(a: Column, i: Column) -> Column:
+                    ends = F.sequence(i, F.least(i + 18, F.size(g) - 1))
+                    last = F.when(i >= a["next"], F.array_max(F.filter(ends, lambda j: valid(_only_digits(run(i, j))))))
+                    found = lambda j: F.when(j.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(i.alias("i"), j.alias("j")))))
+                    return _let(last, lambda j: F.struct(F.coalesce(j + 1, a["next"]).alias("next"), found(j).alias("out")))
 
-            return _let(last, turn)
+                return F.aggregate(
+                    F.sequence(base, F.least(base + (CHUNK - 1), F.size(g) - 1)), F.struct(acc["next"].alias("next"), none.alias("out")), step,
+                    lambda a: F.struct(a["next"].alias("next"), F.concat(acc["out"], a["out"]).alias("out")),
+                )
 
-        start = F.struct(F.lit(0).alias("next"), F.lit("").alias("rest"), F.array().cast("array<struct<m:string,k:string>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda a: F.concat(a["out"], F.array(part(a["rest"], None))))
+            return _let(F.slice(g, base + 1, CHUNK + 18), inside)
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(g) - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("next"), none.alias("out")), chunk, lambda a: a["out"])
+
+    def cut(g: Column) -> Column:
+        def between(p: Column) -> Column:
+            """The text before card ``k`` (after the last one for ``k`` = number of cards) and the card."""
+            after = lambda k: F.get(p, k - 1)["j"]
+            tail = lambda k: F.when(k > 0, F.regexp_extract(F.get(g, after(k)), "[^0-9]*$", 0)).otherwise("")
+            begin = lambda k: F.when(k > 0, after(k) + 1).otherwise(0)
+            stop = lambda k: F.coalesce(F.get(p, k)["i"], F.size(g))
+            rest = lambda k: part(F.concat(tail(k), F.array_join(F.slice(g, begin(k) + 1, stop(k) - begin(k)), "")), None)
+            body = lambda c: F.regexp_replace(F.array_join(F.slice(g, c["i"] + 1, c["j"] - c["i"] + 1), ""), "[^0-9]$", "")
+            cards = F.flatten(F.transform(p, lambda c, k: F.array(rest(k), part(body(c), "card"))))
+            return F.concat(cards, F.array(rest(F.size(p))))
+
+        return _let(picks(g), between)
 
     def others(s: Column) -> Column:
         gaps, found = F.split(s["m"], OTHERS, -1), F.regexp_extract_all(s["m"], F.lit(OTHERS), F.lit(0))
         both = _let(found, lambda f: F.flatten(F.transform(gaps, lambda gap, i: F.array(part(gap, None), _let(F.get(f, i), lambda m: part(F.coalesce(m, F.lit("")), kind_of(m)))))))
         return F.when(s["k"].isNull(), both).otherwise(F.array(s))
 
-    return F.flatten(F.transform(_let(F.regexp_extract_all(x, F.lit("[0-9]+[^0-9]?"), F.lit(0)), cards), others))
+    return F.flatten(F.transform(_let(F.regexp_extract_all(x, F.lit("[0-9]+[^0-9]?"), F.lit(0)), cut), others))
 
 
 def pseudonym(x: Column, kind: Column, key: str) -> Column:
@@ -195,8 +235,8 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
         .when(kind == "secret", _secret(key, x))
         .when(kind == "ip", _ip(key, x))
         .when(kind == "date", _date(key, x))
-        .when(kind == "phone", _national(key, "phone", x))
-        .when(kind == "ssn", _national(key, "ssn", x))
+        .when(kind == "phone", _phone(key, x))
+        .when(kind == "ssn", _ssn(key, x))
         .when(kind == "card", _card(key, x))
         .otherwise(x)
     )
@@ -207,28 +247,33 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "graphloom"
 
     ``kinds_col`` names an extra column: array<string> with the kind of each match that was replaced. Null texts stay
     null (their kinds too), empty texts stay empty. Equal values get equal pseudonyms under one ``key``, which is a
-    secret of the deployment. A card-like number that fails the Luhn test is no card and stays; in a run of several
-    numbers, sequences of whole numbers are tried, see :func:`_pieces`. Repeated rows and empty tables need no special
-    case; there is no shuffle and no Python.
+    secret of the deployment. A card-like number that fails the Luhn test, an SSN with a part that is never issued and a
+    day that no calendar has are none and stay; in a run of several numbers, sequences of whole numbers are tried, see
+    :func:`_pieces`. Texts of any length are read in time that grows with them. Repeated rows and empty tables need no
+    special case; columns pass through, whatever their names; there is no shuffle and no Python.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    hit = text.rlike(HINT)
-    found = docs.withColumn("_gl_m", F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    found = found.withColumn("_gl_g", F.when(F.size("_gl_m") > 0, F.split(text, PATTERN, -1)))
+    ms, gs, ks, ps = (free_name(docs, c) for c in ("pii_m", "pii_g", "pii_k", "pii_p"))
+    found = docs.withColumn(ms, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    found = found.withColumn(gs, F.when(F.size(ms) > 0, F.split(text, PATTERN, -1)))
     one = lambda m: _let(kind_of(m), lambda k: F.when(k == "card", _pieces(m)).otherwise(F.array(F.struct(m.alias("m"), k.alias("k")))))
-    named = found.withColumn("_gl_k", F.when(F.size("_gl_m") > 0, F.transform("_gl_m", one)))
-    swapped = named.withColumn("_gl_p", F.transform("_gl_k", lambda x: F.transform(x, lambda s: F.struct(pseudonym(s["m"], s["k"], key).alias("p"), s["m"].alias("m"), s["k"].alias("k")))))
+    named = found.withColumn(ks, F.when(F.size(ms) > 0, F.transform(ms, one)))
+    swapped = named.withColumn(ps, F.transform(ks, lambda x: F.transform(x, lambda s: F.struct(pseudonym(s["m"], s["k"], key).alias("p"), s["m"].alias("m"), s["k"].alias("k")))))
     whole = lambda x: F.array_join(F.transform(x, lambda s: s["p"]), "")
-    joined = F.concat(F.array_join(F.transform("_gl_p", lambda x, i: F.concat(F.get("_gl_g", i), whole(x))), ""), F.get("_gl_g", F.size("_gl_p")))
-    out = swapped.withColumn(text_col, F.when(F.size("_gl_p") > 0, joined).otherwise(text))
+    joined = F.concat(F.array_join(F.transform(ps, lambda x, i: F.concat(F.get(gs, i), whole(x))), ""), F.get(gs, F.size(ps)))
+    out = swapped.withColumn(text_col, F.when(F.size(ps) > 0, joined).otherwise(text))
     if kinds_col:
-        kinds = F.transform(F.filter(F.flatten("_gl_p"), lambda s: s["p"] != s["m"]), lambda s: s["k"])
-        out = out.withColumn(kinds_col, F.when(F.col("_gl_p").isNotNull(), kinds).when(text.isNotNull(), F.array().cast("array<string>")))
-    return out.drop("_gl_m", "_gl_g", "_gl_k", "_gl_p")
+        kinds = F.transform(F.filter(F.flatten(ps), lambda s: s["p"] != s["m"]), lambda s: s["k"])
+        out = out.withColumn(kinds_col, F.when(F.col(ps).isNotNull(), kinds).when(text.isNotNull(), F.array().cast("array<string>")))
+    return out.drop(ms, gs, ks, ps)
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "graphloom") -> DataFrame:
-    """``doc_id``, the pseudonymised ``text``, ``n_found`` and one count per kind (``n_email`` ...). Null text: zero counts."""
+    """``doc_id``, the pseudonymised ``text``, ``n_found`` and one count per kind (``n_email`` ...).
+
+    Null and empty texts have zero counts and stay as they are; null ids pass through; repeated rows each appear; texts of
+    any length are handled, see :func:`pseudonymise`; an empty table gives an empty result; other columns are ignored.
+    """
     done = pseudonymise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", key, "_kinds")
     size = F.when(F.col("_kinds").isNull(), 0).otherwise(F.size("_kinds")).alias("n_found")
     counts = [F.when(F.col("_kinds").isNull(), 0).otherwise(F.size(F.filter("_kinds", _same(kind)))).alias(f"n_{kind}") for kind in KINDS]

@@ -434,6 +434,59 @@ def test_pii(spark):
     assert got[3]["n_found"] == got[5]["n_found"] == 0
 
 
+def test_pii_long_runs(spark):
+    """Texts of a million characters without a break, and runs that once recursed or took quadratic time."""
+    card = "4539578763621486"
+    cases = {
+        "letters": "x" * 1_000_000 + " a@b.example.com", "labels": "a@" + "b." * 500_000 + "1", "labels end": "c@" + "b." * 60 + "com", "local": "a.b" * 300_000 + "@x.org",
+        "hex": "0f" * 500_000, "digits": "7" * 1_000_000, "ats": "a@" * 100_000, "dots": "1.2.3." * 100_000, "dashes": "-" * 500_000 + "@",
+        "numbers": "1 22 " * 20_000 + card + " 3" * 100, "joined": "x@y.zz.a@b.com",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(cases.values())], "doc_id long, text string").repartition(4)
+    got = {name: r for name, r in zip(cases, sorted(pii.pii_report(rows, key="k").collect(), key=lambda r: r["doc_id"]), strict=True)}
+    want = {"letters": (1, "email"), "labels": (0, None), "labels end": (1, "email"), "local": (1, "email"), "hex": (0, None), "digits": (0, None), "ats": (0, None), "dots": (0, None), "dashes": (0, None), "numbers": (1, "card"), "joined": (2, "email")}
+    for name, (n, kind) in want.items():
+        assert got[name]["n_found"] == n and (kind is None or got[name][f"n_{kind}"] == n), name
+        assert n or got[name]["text"] == cases[name]
+    assert card not in got["numbers"]["text"] and got["numbers"]["text"].startswith("1 22 1 22") and got["numbers"]["text"].endswith(" 3" * 100)
+
+
+def test_pii_cards_plain(spark):
+    """Cards of runs of numbers, over several chunks, against a plain search from the left."""
+    rng = random.Random(6)
+
+    def plain(numbers):
+        i, out = 0, []
+        while i < len(numbers):
+            fits = [j for j in range(i, min(i + 19, len(numbers))) if 13 <= len("".join(numbers[i : j + 1])) <= 19 and luhn("".join(numbers[i : j + 1]))]
+            out += [(i, max(fits))] if fits else []
+            i = max(fits) + 1 if fits else i + 1
+        return out
+
+    cases = [["".join(rng.choice("0123456789") for _ in range(rng.choice((1, 2, 4, 4, 4, 15, 16)))) for _ in range(rng.choice((1, 4, 7, 130, 200)))] for _ in range(40)]
+    cases = [c for c in cases if len("".join(c)) >= 13]
+    rows = spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(cases)], "doc_id long, text string")
+    found = rows.select("doc_id", pii._pieces(F.col("text")).alias("p")).collect()
+    assert len(found) == len(cases) > 30
+    for r in found:
+        numbers, cards = cases[r["doc_id"]], [s["m"] for s in r["p"] if s["k"] == "card"]
+        assert "".join(s["m"] for s in r["p"]) == " ".join(numbers)
+        assert cards == [" ".join(numbers[i : j + 1]) for i, j in plain(numbers)]
+
+
+def test_pii_formats(spark):
+    """Pseudonyms stay in their format, and what is not valid stays as it is; clashing columns pass through."""
+    days = spark.sql("SELECT date_format(date_add(date'1900-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS d FROM range(0, 73049, 41)")
+    moved = days.select("d", pii._date("k", F.col("d")).alias("p")).collect()
+    assert len({r["p"] for r in moved}) == len(moved) and all("1900-01-01" <= r["p"] <= "2099-12-31" for r in moved)
+    numbers = spark.createDataFrame([(f"{a:03d}-{g:02d}-{s:04d}",) for a in (1, 7, 665, 667, 899) for g in (1, 50, 99) for s in (1, 77, 9999)], "x string")
+    out = [r["p"] for r in numbers.select(pii._ssn("k", F.col("x")).alias("p")).collect()]
+    assert len(set(out)) == 45 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", p) for p in out)
+    rows = spark.createDataFrame([(1, "ssn 900-12-3456 and 666-12-3456 or 123-00-4567", 4, 5)], "doc_id long, text string, pii_m int, PII_K int")
+    done = pii.pseudonymise(rows)
+    assert done.columns == rows.columns and done.collect() == rows.collect()
+
+
 def test_feistel_is_a_bijection(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     moved = n.select("d", pii.permute_digits("k", F.lit("t"), F.col("d")).alias("p")).collect()
