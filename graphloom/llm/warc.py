@@ -88,16 +88,17 @@ def parse_record(data: bytes) -> dict:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, refers_to``: the smallest id of equal payloads of at least ``min_bytes``, null on itself.
 
-    Digests alone are grouped (partially aggregated, so a hot payload costs one row a task); only the ids of later
-    copies meet the pages again, on the id.
+    Digests alone are grouped (partially aggregated, so a hot payload costs one row a task); only the ids and digests of
+    later copies meet the pages again, on both, so rows that repeat an id with another payload keep it.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    keys = rows.select("page_id", F.sha1("html").alias("h"), F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
+    rows = rows.withColumn("h", F.sha1("html")).withColumn("n", F.octet_length("html"))
+    keys = rows.select("page_id", "h", "n").where(F.col("n") >= min_bytes)
     first = keys.groupBy("h", "n").agg(F.min("page_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("h", "n", "low")
     first = stage_table(first, "warc-first")
-    later = keys.join(first, ["h", "n"]).where("page_id > low").select("page_id", F.col("low").alias("refers_to")).distinct()
-    return rows.join(stage_table(later, "warc-later"), "page_id", "left")
+    later = keys.join(first, ["h", "n"]).where("page_id > low").select("page_id", "h", "n", F.col("low").alias("refers_to")).distinct()
+    return rows.join(stage_table(later, "warc-later"), ["page_id", "h", "n"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(marked: DataFrame, folder: str | None = None, roll_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
@@ -190,8 +191,9 @@ def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) ->
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write every row as a record, index it, and read all records back through the index.
 
-    Null html is an empty payload; null urls become empty; rows with a null id are responses without an id; repeated
-    rows of one id are each a record of the same type; an empty table gives an empty result.
+    Null html is an empty payload; null urls become empty; rows with a null id are responses without an id; rows that
+    repeat an id are each a record, and of the same type where their payloads are equal; an empty table gives an empty
+    result; other columns are ignored.
     """
     index = write_archives(mark_revisits(pages, id_col, url_col, html_col, min_bytes))
     return read_records(index)
