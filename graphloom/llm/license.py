@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Phrases that mark a licence by name, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label -> template. ``[[ ... ]]`` is optional wording (nestable); ``{{name:pattern:min-max}}`` is a
+#: Label -> template. The wording is that of the public licence texts. ``[[ ... ]]`` is optional wording (nestable); ``{{name:pattern:min-max}}`` is a
 #: replaceable region of min to max words, each matching the pattern. ``{name}`` in a label takes the region's words.
 TEMPLATES: dict[str, str] = {
     "apache-{v}": "licensed under the apache license [[version]] {{v:[0-9]+:1-2}}",
@@ -38,10 +38,47 @@ TEMPLATES: dict[str, str] = {
         "documentation and or other materials provided with the distribution"
     ),
     "unlicense": "this is free and unencumbered software released into the public domain",
-}
-
-#: A template is tried in texts that hold the first words of its longest fixed wording.
-KEY_WORDS = 4
+    "mit-full": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this {{work:.+:1-6}} to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+        "[[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall {{holder:.+:1-8}} be liable for any claim damages or other liability whether "
+        "in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ),
+    "bsd-full": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution "
+        "[[[[3]] neither the name of {{owner:.+:1-8}} nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission]] "
+        "this software is provided by {{giver:.+:1-8}} as is and any express or implied warranties including but not limited to the implied warranties of "
+        "merchantability and fitness for a particular purpose are disclaimed"
+    ),
+    "apache-header-{v}": (
+        "licensed under the apache license version {{v:[0-9]+:1-2}} the license you may not use this file except in compliance with the license you may obtain "
+        "a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software "
+        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license "
+        "for the specific language governing permissions and limitations under the license"
+    ),
+    "gpl-header-{v}": (
+        "{{work:.+:1-4}} is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as "
+        "published by the free software foundation either version {{v:[0-9]+:1-2}} of the license or at your option any later version "
+        "{{name:.+:1-4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+        "fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details"
+    ),
+    "mpl-{v}": "this source code form is subject to the terms of the mozilla public license v {{v:[0-9]+:1-2}} if a copy of the mpl was not distributed with this file you can obtain one at",
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the "
+        "use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+        "redistribute it freely subject to the following restrictions"
+    ),
+    "boost-{v}": "distributed under the boost software license version {{v:[0-9]+:1-2}}",
+    "cc0": "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+}
 
 _MARK = re.compile(r"\[\[|\]\]|\{\{(\w+):(.*?):(\d+)-(\d+)\}\}|[^\s\[\]{}]+")
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
@@ -61,25 +98,21 @@ class Automaton:
     skips: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
     final: int = 0
     mandatory: int = 0
-    starts: set[bytes] = field(default_factory=set)
-    key: bytes = b""
+    starts: list = field(default_factory=list)
 
 
 def compile_template(label: str, template: str) -> Automaton:
     a = Automaton(label)
-    now, opened, run, best = 0, [], [], []
+    now, opened = 0, []
     fresh = iter(range(1, 1 << 30))
     for found in _MARK.finditer(template):
         token = found[0]
         if token == "[[":
             opened.append(now)
-            run = []
         elif token == "]]":
             a.skips[opened.pop()].append(now)
-            run = []
         elif found[1]:
             name, pattern, least, most = found[1], re.compile(found[2].encode()), int(found[3]), int(found[4])
-            run = []
             for k in range(most):
                 nxt = next(fresh)
                 a.steps[now].append((pattern, name, nxt, False))
@@ -94,12 +127,9 @@ def compile_template(label: str, template: str) -> Automaton:
             a.steps[now].append((token.encode(), "", nxt, not opened))
             now = nxt
             a.mandatory += not opened
-            run = [*run, token] if not opened else []
-            best = max(best, run, key=len)
     a.final = now
-    a.key = " ".join(best[:KEY_WORDS]).encode()
     for s in _closure(a, [0]):
-        a.starts.update(m for m, *_ in a.steps[s] if isinstance(m, bytes))
+        a.starts += [m for m, *_ in a.steps[s]]
     return a
 
 
@@ -138,30 +168,51 @@ def run_from(a: Automaton, words: list[bytes], at: int) -> tuple[int, int, dict[
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None):
         self.automata = [compile_template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
+        self.by_word: dict[bytes, list[int]] = defaultdict(list)
+        for k, a in enumerate(self.automata):
+            for m in a.starts:
+                if isinstance(m, bytes):
+                    self.by_word[m].append(k)
+        #: Templates that begin with a replaceable region start before their first fixed word: at most so many words.
+        self.led = {k: self._lead(a) for k, a in enumerate(self.automata) if not all(isinstance(m, bytes) for m in a.starts)}
+        for k, (word, _) in self.led.items():
+            self.by_word[word].append(k)
         self.phrases = {b" " + k.encode() + b" ": (v, len(k.split())) for k, v in (PHRASES if phrases is None else phrases).items()}
 
+    @staticmethod
+    def _lead(a: Automaton) -> tuple[bytes, int]:
+        """First fixed word after a leading region, and the most words of that region."""
+        state, most = 0, 0
+        while not isinstance(a.steps[state][0][0], bytes):
+            state, most = a.steps[state][0][2], most + 1
+        return a.steps[state][0][0], most
+
     def scan(self, text: str | None) -> dict:
         words = [w for w in words_of(text) if w]
         joined = b" " + b" ".join(words) + b" "
         spots, base, labels, score, spans = [], set(), set(), 0.0, []
         for phrase, (label, _) in self.phrases.items():
-            at = joined.find(phrase)
+            at, word, counted = joined.find(phrase), 0, 0
             while at >= 0:
-                spots.append(joined.count(b" ", 0, at))
+                word += joined.count(b" ", counted, at)  # only from the last place on, so that time grows with the text
+                counted = at
+                spots.append(word)
                 base.add(label)
                 at = joined.find(phrase, at + 1)
-        for a in self.automata:
-            if b" " + a.key + b" " in joined:
-                ends = 0
-                for at, w in enumerate(words):
-                    if w in a.starts and at >= ends:
-                        n, end, regions = run_from(a, words, at)
-                        if end >= 0:
-                            parts = {k: b"".join(b"-" + x for x in v) if k == "terms" else b".".join(v) for k, v in (regions or {}).items()}
-                            labels.add(re.sub(r"\{(\w+)\}", lambda m: parts.get(m[1], b"").decode("utf-8", "replace"), a.label))
-                            spans.append((at, end))
-                            ends = end
-                        score = max(score, 1.0 if end >= 0 else n / a.mandatory)
+        ends = [0] * len(self.automata)
+        for at, w in enumerate(words):
+            for k in self.by_word.get(w, ()):
+                a = self.automata[k]
+                for begin in range(max(ends[k], at - self.led[k][1]), at) if k in self.led else (at,):
+                    if begin < ends[k]:
+                        continue
+                    n, end, regions = run_from(a, words, begin)
+                    if end >= 0:
+                        parts = {x: b"".join(b"-" + y for y in v) if x == "terms" else b".".join(v) for x, v in (regions or {}).items()}
+                        labels.add(re.sub(r"\{(\w+)\}", lambda m, parts=parts: parts.get(m[1], b"").decode("utf-8", "replace"), a.label))
+                        spans.append((begin, end))
+                        ends[k] = end
+                    score = max(score, 1.0 if end >= 0 else n / (a.mandatory + 1))
         return {
             "n_words": len(words), "n_base": len(spots), "first_word": min(spots, default=None), "last_word": max(spots, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": score, "spans": spans,
@@ -178,10 +229,10 @@ _ARROW = pa.schema(
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: phrase places and labels, the labels of accepted templates, their word spans and a score.
 
-    ``score`` is 1 if a template's mandatory wording matches exactly, else the largest share of a template's mandatory
-    words that a run from one of its starting words matches (of templates whose key, the first words of their longest
-    fixed wording, occurs). Null and
-    empty texts have no word, null positions, empty labels and score 0; null ids pass through; other columns are ignored.
+    ``score`` is 1 if a template matches, its mandatory wording exactly, else the largest share of a template's mandatory
+    words (and its end) that a run from one of its first words reaches. Null and empty texts have no word, null positions, empty labels
+    and score 0; null ids pass through; repeated rows each appear; time grows with the text; an empty table gives an empty
+    result; other columns are ignored.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -327,6 +327,9 @@ def test_warc(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first[p] == i else ("revisit", first[p]))
         assert r["payload"] == ((h or "") if first[p] == i else None)
+    again = spark.createDataFrame([(1, "u", "same"), (5, "u", "same"), (5, "u", "other"), (6, "u", "unique"), (6, "u", "same"), (6, "u", "same"), (None, "u", "same")], "page_id long, url string, html string")
+    back = Counter((r["page_id"], r["payload"], r["refers_to"]) for r in warc.archive_round_trip(again).collect())
+    assert back == Counter([(1, "same", None), (5, None, 1), (5, "other", None), (6, "unique", None), (6, None, 1), (6, None, 1), (None, "same", None)])
     index = warc.write_archives(warc.mark_revisits(pages, min_bytes=5))
     some = warc.read_records(index.where("page_id % 3 = 0"), gap=0, most=200)
     assert {r["page_id"] for r in some.collect()} == {i for i, _, _ in rows if i % 3 == 0}
@@ -361,6 +364,41 @@ def test_license(spark):
     assert license.scan_licenses(empty(spark)).collect() == []
 
 
+def test_license_scan_plain():
+    """Spans and labels of all templates against their regular expressions, spoilt wordings included; long texts take linear time."""
+    scanner, rng = license.Scanner(), random.Random(4)
+
+    def pattern(template):
+        out = ""
+        for m in license._MARK.finditer(template):
+            if m[0] in ("[[", "]]"):
+                out += "(?:" if m[0] == "[[" else ")?"
+            else:
+                out += f"(?:{m[2] if m[2] != '.+' else '[^ ]+'} ){{{m[3]},{m[4]}}}" if m[1] else f"{m[0]} "
+        return re.compile("(?<![^ ])" + out)
+
+    def sample(template):
+        text = re.sub(r"\{\{\w+:(.*?):(\d+)-(\d+)\}\}", lambda m: " ".join(("7" if "0-9" in m[1] else "nc" if "|" in m[1] else "some") for _ in range(int(m[3]))), template)
+        return " ".join(re.sub(r"\[\[[^\[\]]*\]\]", lambda m: m[0][2:-2] if rng.random() < 0.5 else "", re.sub(r"\[\[(\[\[3\]\])", r"[[", text)).replace("[[", " ").replace("]]", " ").split())
+
+    for name, template in license.TEMPLATES.items():
+        regex = pattern(template)
+        for spoil in (False, True):
+            words = ["aa", *sample(template).split(), "zz"]
+            if spoil:
+                words[rng.randrange(len(words) // 2, len(words) - 2)] = "spoilt!"
+            text = " ".join(words).replace("spoilt!", "spoilt")
+            found = regex.search(text + " ")
+            row = scanner.scan(text)
+            want = [(len(text[: found.start()].split()), len(text[: found.end()].split()))] if found else []
+            assert all(x in row["spans"] for x in want) and (row["score"] == 1.0 or not found), (name, spoil)
+            assert (re.sub(r"[-{].*", "", name) in row["labels"]) or spoil or not found
+            assert found or 0 < row["score"] < 1 or row["spans"]
+    assert 0.15 < scanner.scan("Permission is hereby granted, free of charge, to any person obtaining a copy of this software, for a fee")["score"] < 1
+    row = scanner.scan("mit license " * 100_000 + "under the " * 50_000)
+    assert (row["n_base"], row["first_word"], row["last_word"]) == (100_000, 0, 199_998)
+
+
 def test_automaton_against_regex():
     a = license.compile_template("x", "alpha [[beta [[gamma]]]] {{v:[0-9]+:1-2}} omega")
     pattern = re.compile(r"alpha( beta( gamma)?)?( [0-9]+){1,2} omega")
