@@ -371,7 +371,10 @@ def near_components(
             yield _star(node, print_groups(_starts(keys), np.stack(prints, axis=1).view(np.uint64), limit))
 
     bucketed = dealt(met.join(nodes.select("node", *names), "node"), "key", "size", block_rows, *names)
-    loose = connected_components(stage_table(bucketed.mapInArrow(loosely, "a long, b long").distinct(), "near-loose"), "near-cc")
+    # A node's centres (at most one a bucket) are tied to the least of them, which many nodes repeat.
+    stars = bucketed.mapInArrow(loosely, "a long, b long").groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("centres"))
+    stars = stars.select("a", F.explode(F.array_append("centres", F.col("b"))).alias("b")).where("a <> b").distinct()
+    loose = connected_components(stage_table(stars, "near-loose"), "near-cc")
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
