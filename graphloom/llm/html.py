@@ -1,10 +1,12 @@
-"""Main text of web pages by maximum-scoring subsequence."""
+"""Main text of web pages by maximum-scoring subsequence, with weights learned from labelled pages."""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import cache
 from html import unescape
 from math import log
 
@@ -12,144 +14,175 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .html_labels import Page, labelled_pages
+
 #: Elements whose content is no text of the page at all.
-RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "math", "head", "title"}
-#: Elements that hold page furniture.
-FURNITURE = {"nav", "aside", "footer", "form", "select", "button", "menu", "dialog", "header"}
-#: Words of class, id and role attributes that mark furniture.
-MARKS = {
-    "ad", "ads", "adv", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "promotion", "banner", "sidebar", "nav",
-    "navbar", "navigation", "menu", "masthead", "footer", "header", "cookie", "cookies", "notice", "consent", "gdpr", "popup", "modal",
-    "newsletter", "subscribe", "share", "sharing", "social", "related", "comment", "comments", "disqus", "breadcrumb", "breadcrumbs", "pagination",
-    "login", "search", "widget", "contentinfo", "complementary", "toolbar", "alert", "overlay", "replies", "toc",
-}
+RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "head", "title"}
 BLOCKS = {
     "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th",
     "caption", "blockquote", "pre", "section", "article", "main", "header", "footer", "aside", "nav", "form", "fieldset", "figure", "figcaption",
     "hr", "address", "details", "summary", "body", "html", "center",
 }
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+#: Elements that hold blocks: a region is widened to one of these, not to a paragraph or a phrase.
+HOLDERS = {"article", "main", "div", "section", "td", "body", "html", "center", "blockquote"}
+#: Log-odds below which an element is furniture.
+FURNITURE = -2.0
+#: Open elements that a start tag ends when their own end tag is missing.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What no missing end tag is looked for beyond.
+_WALLS = {"ul", "ol", "dl", "table", "article", "main", "body", "html", "section", "div", "aside", "blockquote"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
-def _marked(tag: str, attrs: str) -> bool:
-    if not attrs:
-        return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", attrs, re.I):
-        return True
+@cache
+def _shut(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+def features(tag: str, attrs: str) -> list[str]:
+    """What an element shows of its kind: its tag (apart for elements with and without names) and the words of its class, id and role."""
+    names: dict[str, None] = {}
     for found in _NAMES.finditer(attrs):
         value = _CAMEL.sub(r"\1 \2", found[1] or found[2] or found[3] or "")
-        if any(w in MARKS for w in _PART.findall(value.lower())):
-            return True
-    return False
+        names |= dict.fromkeys(f"name:{w}" for w in _PART.findall(value.lower()))
+    return [f"tag:{tag}" if names else f"bare:{tag}", *names, *(["hidden"] if attrs and _HIDDEN.search(attrs) else [])]
+
 
+@dataclass
+class Node:
+    """An element of a page, of which the page itself is the first."""
 
-def events(html: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """``kind, value, furniture, link, inside`` of a page in order.
+    tag: str
+    up: int
+    features: list[str] = field(default_factory=list)
 
-    ``kind`` is ``text`` (value: the raw text) or ``tag`` (value: name, with ``/`` if it closes). ``furniture``: inside
-    an excluded element; ``link``: inside an anchor; ``inside``: inside an article or main element.
+
+def parse(html: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
+    """Elements, and the events ``text, raw text, element`` and ``tag, name (with / if it closes), element`` in page order.
+
+    Missing end tags of paragraphs, list items, cells and whatever an outer end tag closes are supplied.
     """
-    at, link, core = 0, 0, 0
-    off: list[str] = []  # open tags since an excluded element began; its own first
-    end = len(html)
+    nodes, out, now = [Node("", -1)], [], 0
+    at, end = 0, len(html)
+
+    def close(to: int) -> None:
+        nonlocal now
+        while now != to:
+            out.append(("tag", "/" + nodes[now].tag, now))
+            now = nodes[now].up
+
     while at < end:
         found = _TOKEN.search(html, at)
         stop = found.start() if found else end
         if stop > at:
-            yield "text", html[at:stop], bool(off), link > 0, core > 0
+            out.append(("text", html[at:stop], now))
         if not found:
-            return
+            break
         at = found.end()
         if not found[2]:
             continue
-        close, tag = found[1] == "/", found[2].lower()
-        if tag in RAW and not close:
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if tag == "head" and not shut:
-                continue
-            at = shut.end() if shut else end
+        tag = found[2].lower()
+        if found[1]:
+            up = now
+            while up > 0 and nodes[up].tag != tag:
+                up = nodes[up].up
+            if up > 0:
+                close(nodes[up].up)
+            elif tag in BLOCKS:
+                out.append(("tag", "/" + tag, now))
             continue
-        if tag in ("article", "main") and not close and not _marked(tag, found[3]):
-            off = []  # an unclosed excluded element ends where the article begins
-            core += 1
-        elif tag in ("article", "main") and close and not off:
-            core = max(0, core - 1)
-        elif off:
-            if tag == off[0] and tag not in VOID:
-                off = off[:-1] if close else [*off, tag]
-                if not off:
-                    yield "tag", f"/{tag}", True, link > 0, core > 0
-                    continue
-        elif not close and tag not in VOID and tag not in ("html", "body") and (
-            (tag in FURNITURE and not (tag == "header" and core)) or _marked(tag, found[3])
-        ):
-            off = [tag]
-        if tag == "a":
-            link = max(0, link - 1) if close else link + 1
-        yield "tag", ("/" if close else "") + tag, bool(off), link > 0, core > 0
-
-
-def _class(kind: str, value: str, off: bool, link: bool) -> str:
-    where = "furniture" if off else "link" if link else "plain"
-    return f"{'word' if kind == 'text' else 'tag:' + value.lstrip('/')}:{where}"
-
-
-#: Labelled pages: (html fragment, is main text) in page order.
-LABELLED: list[list[tuple[str, bool]]] = [
-    [
-        ("<html><body><header><h1>Daily Paper</h1></header><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>", False),
-        ("<article><h1>Rain returns</h1><p>The first rain in three months fell on the hills this morning, and farmers went out to see it.</p><p>More is expected.</p>", True),
-        ("<p>The river has <a href='/r'>risen a little</a> since then, <b>but not much</b>.</p></article>", True),
-        ("<aside class='sidebar'><h3>Most read</h3><ul><li><a>One story</a></li></ul></aside><footer>Copyright the paper</footer></body></html>", False),
-    ],
-    [
-        ("<div id='menu'><a href='/a'>Start</a> <a href='/b'>Shop</a> <a href='/c'>About us</a></div><div class='cookie-notice'>We use cookies to improve your stay.</div>", False),
-        ("<div class='post'><h2>How to prune a pear tree</h2><p>Wait for a dry day in late winter, when the buds are still closed.</p><ul><li>Cut dead wood first.</li><li>Then thin the crown.</li></ul>", True),
-        ("<p>Finally, seal larger cuts and clear the ground below the tree of all leaves.</p></div>", True),
-        ("<div class='comments'><p>Great advice, thank you!</p><p>Mine died.</p></div><form><label>Your name</label><input></form>", False),
-    ],
-    [
-        ("<table><tr><td><a href='1'>Index</a></td><td><a href='2'>Next</a></td></tr></table><div class='ad'>Buy now and save a lot of money today.</div>", False),
-        ("<main><h1>Minutes</h1><p>The council met on Tuesday evening and opened with the budget for the coming year.</p><blockquote>No new debt was taken on.</blockquote>", True),
-        ("<p>Two members were absent. The meeting closed at nine.</p></main>", True),
-        ("<div><a href='x'>Share</a><a href='y'>Print</a><a href='z'>Mail</a></div><footer>Town hall, Main street</footer>", False),
-    ],
-]
-
-
-def learn_weights(pages: Iterable[list[tuple[str, bool]]] = LABELLED, smooth: float = 0.5) -> dict[str, float]:
-    """Log-odds of each event class inside against outside main text, over labelled pages.
-
-    The sign is the method's: plain words score above zero and tags below it (a tag's weight is capped there), so only
-    words can pay for the markup between them.
+        if tag in RAW:
+            shut = None if found[3].rstrip().endswith("/") and tag not in ("script", "style") else _shut(tag).search(html, at)
+            if shut:
+                at = shut.end()
+            elif tag in ("script", "style"):
+                at = end
+            continue
+        if tag in BLOCKS:  # a block ends an open paragraph
+            up = now
+            while up > 0 and nodes[up].tag not in _WALLS and nodes[up].tag != "p":
+                up = nodes[up].up
+            if nodes[up].tag == "p":
+                close(nodes[up].up)
+        if tag in _ENDS:
+            up = now
+            while up > 0 and nodes[up].tag not in _WALLS and nodes[up].tag not in _ENDS[tag]:
+                up = nodes[up].up
+            if nodes[up].tag in _ENDS[tag]:
+                close(nodes[up].up)
+        if tag in VOID or found[3].rstrip().endswith("/") and tag == "math":
+            out.append(("tag", tag, now))
+            continue
+        nodes.append(Node(tag, now, features(tag, found[3])))
+        now = len(nodes) - 1
+        out.append(("tag", tag, now))
+    close(0)
+    return nodes, out
+
+
+@dataclass
+class Weights:
+    """``tokens``: score of a word (``word``, ``word:link``, above zero) and of a tag (below zero); ``kinds``: log-odds of the
+    features of elements that hold main text against those of elements that hold none of it."""
+
+    tokens: dict[str, float]
+    kinds: dict[str, float]
+
+    def of_element(self, node: Node) -> float:
+        return sum(self.kinds.get(f, 0.0) for f in node.features)
+
+
+def _links(nodes: list[Node]) -> list[bool]:
+    out: list[bool] = []
+    for n in nodes:
+        out.append(n.up >= 0 and (out[n.up] or n.tag == "a"))
+    return out
+
+
+def learn_weights(pages: Iterable[Page] | None = None, smooth: float = 0.5, rare: float = 0.1) -> Weights:
+    """Weights from labelled pages: log-odds of tokens inside against outside main text, and of element features.
+
+    The signs are the method's: words score above zero (0.05 at least) and tags below it (-0.05 at most), so only words
+    can pay for the markup between them. An element counts as main if main words are in it, as furniture if it is the
+    outermost one that holds words but no main ones, and else not at all; elements of equal features count once.
     """
     inside: dict[str, float] = defaultdict(float)
     outside: dict[str, float] = defaultdict(float)
-    for page in pages:
-        marker, html = "\x00", ""
-        for piece, good in page:
-            html += f"{marker}{int(good)}{piece}"
-        good = False
-        for kind, value, off, link, _ in events(html):
-            if kind == "text":
-                for part in re.split(r"(\x00[01])", value):
-                    if part.startswith(marker):
-                        good = part[1] == "1"
-                    else:
-                        (inside if good else outside)[_class(kind, value, off, link)] += len(part.split())
-            else:
-                (inside if good else outside)[_class(kind, value, off, link)] += 1
-    n_in, n_out = sum(inside.values()), sum(outside.values())
-    out = {}
-    for c in inside.keys() | outside.keys():
-        score = log((inside[c] + smooth) / n_in) - log((outside[c] + smooth) / n_out)
-        out[c] = max(0.2, score) if c == "word:plain" else min(-0.05 if c.startswith("tag") else score, score)
-    return out
+    good_kinds: set[tuple[str, ...]] = set()
+    bad_kinds: set[tuple[str, ...]] = set()
+    for page in labelled_pages() if pages is None else pages:
+        nodes, seen = parse("".join(f"\x00{int(good)}{piece}" for piece, good in page))
+        link, good = _links(nodes), False
+        words = [[0, 0] for _ in nodes]
+        for kind, value, node in seen:
+            if kind == "tag":
+                (inside if good else outside)[f"tag:{value.lstrip('/')}"] += 1
+                continue
+            for part in re.split(r"(\x00[01])", value):
+                if part.startswith("\x00"):
+                    good = part[1] == "1"
+                    continue
+                n = len(part.split())
+                (inside if good else outside)["word:link" if link[node] else "word"] += n
+                while node >= 0 and n:
+                    words[node][good] += n
+                    node = nodes[node].up
+        for node, (bad, well) in zip(nodes, words, strict=True):
+            if node.tag in ("", "html", "body") or not bad + well or not well and nodes[node.up].tag not in ("", "html", "body") and not words[node.up][1]:
+                continue
+            (good_kinds if well else bad_kinds).add(tuple(node.features))
+    n_in, n_out = sum(inside.values()) or 1, sum(outside.values()) or 1
+    odds = {c: log((inside[c] + smooth) / n_in) - log((outside[c] + smooth) / n_out) for c in [*inside, *outside]}
+    tokens = {c: max(0.05, x) if c.startswith("word") else min(-0.05, x) for c, x in odds.items()}
+    good_of, bad_of = (Counter(f for fs in kinds for f in fs) for kinds in (good_kinds, bad_kinds))
+    kinds = {f: log(good_of[f] + rare) - log(bad_of[f] + rare) for f in [*good_of, *bad_of]}
+    return Weights(tokens, kinds)
 
 
 _DEFAULT = learn_weights()
@@ -167,35 +200,65 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def main_text(html: str | None, weights: dict[str, float] | None = None) -> str:
+def main_text(html: str | None, weights: Weights | None = None) -> str:
     """Main text of one page; blocks joined by an empty line. Null, empty and text-free pages give ''.
 
-    The best region is widened to the article or main element it lies in, or, without one, over neighbouring blocks
-    that are not furniture and not mostly links; excluded elements inside the region are left out.
+    Elements whose features speak for furniture are left out, and their words score nothing. The best region of what is
+    left is widened, so that no list or heading at its ends is lost, to the element it lies in: the outermost ``article``
+    around it, else the outermost element around it whose features speak for main text, else the least element that holds
+    blocks; on a page without any but its body the region grows over neighbouring text that is not in links.
     """
     if not html:
         return ""
     w = weights or _DEFAULT
-    seen = list(events(html))
+    nodes, seen = parse(html)
+    link = _links(nodes)
+    odds = [w.of_element(n) for n in nodes]
+    off = [False]
+    for n, x in zip(nodes[1:], odds[1:], strict=True):
+        off.append(off[n.up] or (x < FURNITURE and n.tag not in ("html", "body")))
     scores = []
-    for kind, value, off, link, _ in seen:
-        weight = w.get(_class(kind, value, off, link), -0.3 if kind == "tag" else -1.0)
-        scores.append(weight * (len(value.split()) if kind == "text" else 1))
+    for kind, value, node in seen:
+        if kind == "text":
+            scores.append(0.0 if off[node] else w.tokens.get("word:link" if link[node] else "word", 0.05) * len(value.split()))
+        else:
+            scores.append(w.tokens.get(f"tag:{value.lstrip('/')}", -0.3))
     begin, end = best_region(scores)
     if begin == end:
         return ""
-    if any(e[4] and e[0] == "text" and not e[2] for e in seen[begin:end]):
-        while begin and (seen[begin - 1][4] or seen[begin][4]):
-            begin -= 1
-        core = [k for k, e in enumerate(seen) if e[4]]
-        begin, end = min(core[0], begin), core[-1] + 1
-        chosen = (e for e in seen[begin:end] if e[4] or e[0] == "tag")
-    else:
-        while begin and not seen[begin - 1][2] and not (seen[begin - 1][0] == "text" and seen[begin - 1][3]):
+    above: list[int] | None = None  # elements around all words of the region, the innermost first
+    for (kind, value, node), s in zip(seen[begin:end], scores[begin:end], strict=True):
+        if kind == "text" and s > 0:
+            own, up = set(), node
+            if above is not None and node == above[0]:
+                continue
+            while up > 0:
+                own.add(up)
+                up = nodes[up].up
+            if above is None:
+                above, up = [], node
+                while up > 0:
+                    above.append(up)
+                    up = nodes[up].up
+                above.append(0)
+            else:
+                above = [x for x in above if x in own or x == 0]
+    above = above or [0]
+    articles = [x for x in above if nodes[x].tag == "article"]
+    good = [x for x in above if odds[x] > 0.5 and nodes[x].tag in HOLDERS and nodes[x].tag not in ("body", "html")]
+    plain = [x for x in above if nodes[x].tag in HOLDERS]
+    holder = articles[-1] if articles else good[-1] if good else plain[0] if plain else 0
+    if nodes[holder].tag in ("", "html", "body"):
+        while begin and not (seen[begin - 1][0] == "text" and seen[begin - 1][1].strip() and (link[seen[begin - 1][2]] or off[seen[begin - 1][2]])):
             begin -= 1
-        while end < len(seen) and not seen[end][2] and not (seen[end][0] == "text" and seen[end][3]):
+        while end < len(seen) and not (seen[end][0] == "text" and seen[end][1].strip() and (link[seen[end][2]] or off[seen[end][2]])):
             end += 1
-        chosen = iter(seen[begin:end])
+        chosen = seen[begin:end]
+    else:
+        inside = [False] * len(nodes)
+        for k in range(holder, len(nodes)):
+            inside[k] = k == holder or (nodes[k].up >= 0 and inside[nodes[k].up])
+        chosen = [e for e in seen if inside[e[2]]]
     blocks: list[str] = []
     now: list[str] = []
 
@@ -205,13 +268,13 @@ def main_text(html: str | None, weights: dict[str, float] | None = None) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, value, off, _, _ in chosen:
+    for kind, value, node in chosen:
         if kind == "text":
-            if not off:
+            if not off[node]:
                 now.append(value)
         elif value.lstrip("/") in BLOCKS:
             flush()
-        elif value in ("br", "/br") and not off:
+        elif value == "br" and not off[node]:
             now.append(" ")
     flush()
     return "\n\n".join(blocks)
@@ -220,7 +283,8 @@ def main_text(html: str | None, weights: dict[str, float] | None = None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row; one pass, no shuffle.
 
-    Null or empty html, and pages without main text, give ''. Ids and urls pass through, nulls included; repeated rows
+    Null or empty html, and pages without main text, give ''. Pages of any length are parsed whole, in time that grows with
+    them. Ids and urls pass through, nulls included; repeated rows
     each appear; an empty table gives an empty result; other columns are ignored.
     """
 

@@ -301,13 +301,46 @@ def test_html(spark):
     rows = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>cut off &am"), (5, "x", "<div class='ad'>Buy</div>"), (None, "y", "plain words only")], "page_id long, url string, html string")
     got = sorted(((r["page_id"] or -1, r["url"], r["text"], r["n_chars"]) for r in html.extract(rows).collect()), key=str)
     assert got == sorted([(1, "u", want, len(want)), (1, "u", want, len(want)), (2, None, "", 0), (3, "v", "", 0), (4, "w", "cut off &am", 11), (5, "x", "", 0), (-1, "y", "plain words only", 16)], key=str)
+    assert html.extract(rows.limit(0)).collect() == []
+
+
+def test_html_weights():
+    """The scan against all runs; signs of the weights; the labelled pages come back; other weights give another text."""
+    rng = random.Random(3)
+    for _ in range(200):
+        scores = [rng.choice((-2.0, -1.0, -0.5, 0.0, 0.5, 1.0)) for _ in range(rng.randint(0, 12))]
+        begin, end = html.best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        assert sum(scores[begin:end]) == pytest.approx(max(0, best))
     weights = html.learn_weights()
-    assert weights["word:plain"] > 0 and all(w < 0 for c, w in weights.items() if c.startswith("tag"))
-    assert html.best_region([-1, 2, -1, 3, -9, 1]) == (1, 4) and html.best_region([-1.0]) == (0, 0)
-    for labelled in html.LABELLED:
-        text = html.main_text("".join(x for x, _ in labelled))
-        assert all(w in text for x, good in labelled if good for w in re.sub("<[^>]*>", " ", x).split())
-        assert html.extract(rows.limit(0)).collect() == []
+    assert all(x > 0 for c, x in weights.tokens.items() if c.startswith("word")) and all(x < 0 for c, x in weights.tokens.items() if c.startswith("tag"))
+    whole, found, spoilt = 0, 0, 0
+    for page in html.labelled_pages():
+        text = html.main_text("".join(x for x, _ in page))
+        words = Counter(w for x, good in page if good for w in re.findall(r"\w+", re.sub("<[^>]*>", " ", x)))
+        got = Counter(re.findall(r"\w+", text))
+        whole, found, spoilt = whole + words.total(), found + (words & got).total(), spoilt + (got - words).total()
+    assert found >= 0.98 * whole and spoilt <= 0.02 * whole
+    page = "<body><div><h1>One</h1><p>first text of the page here</p></div><hr><div class='zig'><p>another text that is quite a bit longer than the first one</p></div></body>"
+    text = html.main_text(page)
+    plain = html.Weights({"word": 1.0, "tag:hr": -100.0}, {})
+    against = html.Weights({"word": 1.0, "tag:hr": -100.0}, {"name:zig": -9.0})
+    assert "One" in text and "another" in text
+    assert html.main_text(page, plain) == "another text that is quite a bit longer than the first one"
+    assert html.main_text(page, against) == "One\n\nfirst text of the page here"
+    assert html.main_text(page, html.Weights({"word": 0.0, "word:link": 0.0}, {})) == ""
+
+
+def test_html_parts():
+    """Names that speak for furniture on main elements, self-closing and unclosed elements, formulas, and long pages."""
+    assert html.main_text('<main class="no-sidebar"><h1>T</h1><p>Some words of the main text.</p></main><div>x y</div>') == "T\n\nSome words of the main text."
+    assert html.main_text('<article class="post has-comments"><p>Body of the article.</p></article>') == "Body of the article."
+    assert html.main_text('<article><p>one</p><svg class="i"/><p>two</p><iframe src="x"/><p>E = <math><mi>m</mi></math>, three</p></article><footer>f</footer>') == "one\n\ntwo\n\nE = m, three"
+    assert html.main_text('<article><p>a<svg><text>no</text></svg><ul><li>b<li>c</ul><div class="ad">buy</div><table><tr><td>1<td>2</table>d</article>') == "a\n\nb\n\nc\n\n1\n\n2\n\nd"
+    assert html.main_text("<div class='ad'>" + "buy now " * 500 + "</div><article><p>short text</p></article>") == "short text"
+    assert html.main_text("<main><article class='comment'><p>x</p></article><p>the text</p><section id='comments'><p>y</p></section></main>") == "the text"
+    assert html.main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("word") == 50_000
+    assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
 # ---- 5
