@@ -185,16 +185,21 @@ def _remixed(values: np.ndarray, k: int | slice) -> np.ndarray:
     return x
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of one text; fewer words: of the whole sequence; none: empty."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def gram_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """64-bit hashes of the ``n``-grams of a sequence of words in order; fewer words: of the whole sequence; none: empty."""
     if not words:
         return np.zeros(0, np.uint64)
     each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(max(1, len(each) - shingle + 1), np.uint64)
-    for k in range(min(shingle, len(each))):
-        out += _remixed(each[k : k + len(out)], k) if len(each) >= shingle else _remixed(each[k : k + 1], k)
-    return np.unique(_remixed(out + np.uint64(min(shingle, len(each))), shingle))
+    size = min(n, len(each))
+    out = np.zeros(len(each) - size + 1, np.uint64)
+    for k in range(size):
+        out += _remixed(each[k : k + len(out)], k)
+    return _remixed(out + np.uint64(size), n)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of one text, see :func:`gram_hashes`."""
+    return np.unique(gram_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle))
 
 
 #: Bits of a segment of the near fingerprint that an anchor selects, and the balls its variants fill.
