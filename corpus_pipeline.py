@@ -1,7 +1,9 @@
 """Corpus preparation: quality rules, near-dedup, decontamination, pseudonyms, packing.
 
 Each stage reads what its predecessor kept, from Parquet in the shared folder, and its decisions take effect in what it
-returns. All stages but the last return the columns of ``documents``; the last returns the packed pieces.
+returns. All stages but the last return the columns of ``documents``, further columns included, whatever their names; the
+last returns the packed pieces. An empty table goes through all stages empty. Repeated rows are treated alike. Texts are
+processed whole, however long.
 """
 
 from __future__ import annotations
@@ -14,28 +16,32 @@ from graphloom.llm.common import read_table, stage_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the latest quality policy keeps."""
+    """Documents the latest quality policy keeps. Null and empty texts have no word and go; null ids stay."""
     return quality.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of texts whose five-word shingles are 0.8 alike or more."""
+    """One document, of the smallest id, of each group of texts whose five-word shingles are 0.8 alike or more.
+
+    Candidates come from SimHash balls (measured recall of pairs at 0.8 to 0.85: 0.99, see the README), every link is
+    exact. Null and blank texts are copies of each other; rows of a null id stay.
+    """
     return simhash.keep_first(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, also in an edited form. Null and empty texts hold none; null ids stay."""
     return decontam.drop_leaking(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms in the place of personal data; ``n_chars`` follows the text."""
+    """Texts with pseudonyms in the place of personal data; ``n_chars`` follows the text. Null texts stay null."""
     done = pii.pseudonymise(docs)
     return done.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in done.columns else done
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences. A null or empty text is one piece of the end id."""
     return packing.pack(docs)
 
 
