@@ -163,10 +163,10 @@ def simhash_components(
 
 
 class _WordHashes(dict):
-    """Hash of each word, remembered; emptied when it holds a million words, which changes speed only."""
+    """Hash of each word, remembered; emptied when it holds half a million words, which changes speed only."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 500_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
         return value
