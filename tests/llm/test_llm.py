@@ -823,3 +823,24 @@ def test_pipeline(spark, tmp_path):
     assert "bob@" not in kept["pii"][25] and kept["pii"][2] == rows[2][1]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(kept["pii"])
+
+
+@pytest.mark.parametrize("name", ["op3_quality", "op5_warc", "op10_suffix"])
+def test_oracles(spark, name):
+    """Registered queries against their SQL on the smallest tables."""
+    import os
+
+    import duckdb
+
+    from graphloom.llm.queries import ORACLES, QUERIES
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = con.execute(ORACLES[name])
+    names = [d[0] for d in found.description]
+    df = QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(found.fetchall(), key=repr)
