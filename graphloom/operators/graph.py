@@ -17,9 +17,11 @@ from ..schema import ALPHA, EPSILON, GAMMA_COMPLEXITY, GAMMA_STRUCTURAL
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests on one machine)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

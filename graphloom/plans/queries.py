@@ -834,3 +834,90 @@ def discover(spark, d):
     layers = [lexical.tfidf_search(docs, "doc_id", "text", q, 25).select(F.col("id").cast("string").alias("symbol_id"), "score", F.lit(n).alias("layer")) for n, q in (("a", "apache license"), ("b", "gnu license"))]
     fused = fusion.rrf_fuse(layers[0].unionByName(layers[1]), 10).select("symbol_id", r("score", 9).alias("score"))
     return fused.join(docs.select(F.col("doc_id").cast("string").alias("symbol_id"), "source"), "symbol_id")
+
+
+# ---- lookups, texts and budgets over whole tables
+
+_PARTS = """parts AS (SELECT 'part:' || p_partkey AS id, p_type AS kind, p_name AS name, p_brand || '.' || p_name AS qualified_name, p_brand || '/' || p_size || '.py' AS file_path FROM part)"""
+
+
+def _parts(spark, d) -> DataFrame:
+    """Parts seen as symbols: brand and size give the file."""
+    text = lambda *c: F.concat(*[F.col(x).cast("string") if x in ("p_partkey", "p_brand", "p_size", "p_name") else F.lit(x) for x in c])
+    return table(spark, d, "part").select(
+        text("part:", "p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"),
+        text("p_brand", ".", "p_name").alias("qualified_name"), text("p_brand", "/", "p_size", ".py").alias("file_path"),
+    )
+
+
+@query("sel_symbols", f"WITH {_PARTS} SELECT * FROM parts ORDER BY id")
+def sel_symbols(spark, d):
+    return lookup.list_symbols(_parts(spark, d))
+
+
+@query("sel_edges", f"WITH e AS ({FULL_SQL}) SELECT src_id, dst_id, kind, round(confidence, 6) AS confidence FROM e ORDER BY ALL")
+def sel_edges(spark, d):
+    return lookup.list_edges(full_edges(spark, d)).select("src_id", "dst_id", "kind", r("confidence").alias("confidence"))
+
+
+@query("sel_count", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("nation", "part", "orders", "lineitem", "documents")))
+def sel_count(spark, d):
+    parts = [table(spark, d, lookup.check_table_name(t)).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("nation", "part", "orders", "lineitem", "documents")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("sel_in_file", f"WITH {_PARTS} SELECT id, name FROM parts WHERE file_path = (SELECT min(file_path) FROM parts) ORDER BY id")
+def sel_in_file(spark, d):
+    symbols = _parts(spark, d)
+    path = symbols.agg(F.min("file_path")).first()[0]
+    return lookup.symbols_in_file(symbols, path).select("id", "name")
+
+
+@query("sel_by_ids", f"WITH {_PARTS} SELECT id, name FROM parts WHERE id IN ('part:1', 'part:7', 'part:150', 'part:none') ORDER BY id")
+def sel_by_ids(spark, d):
+    return lookup.symbols_by_values(_parts(spark, d), "id", ["part:7", "part:1", "part:7", "part:150", "part:none"]).select("id", "name")
+
+
+@query("sel_hydrate", f"WITH {_PARTS} SELECT event_id AS pos, id, name FROM events JOIN parts ON id = 'part:' || user_id ORDER BY pos")
+def sel_hydrate(spark, d):
+    asked = table(spark, d, "events").select(F.concat(F.lit("part:"), F.col("user_id").cast("string")).alias("symbol_id"), F.col("event_id").alias("pos"))
+    return lookup.hydrate(asked, _parts(spark, d)).select("pos", "id", "name")
+
+
+_SCAN = """(SELECT '{needle}' AS needle, id FROM parts WHERE id = '{needle}' OR name = '{needle}' OR contains(lower(name), lower('{needle}')) OR contains(lower(qualified_name), lower('{needle}')) OR contains(lower(id), lower('{needle}'))
+  ORDER BY CASE WHEN id = '{needle}' THEN 6 WHEN qualified_name = '{needle}' THEN 5 WHEN name = '{needle}' THEN 4 WHEN lower(name) = lower('{needle}') THEN 3
+    WHEN contains(lower(name), lower('{needle}')) OR contains(lower(qualified_name), lower('{needle}')) THEN 2 ELSE 1 END DESC, id LIMIT 1)"""
+
+
+@query("sel_scan", f"WITH {_PARTS} {_SCAN.format(needle='part:12')} UNION ALL {_SCAN.format(needle='BRAND')} UNION ALL {_SCAN.format(needle='PART:3')}")
+def sel_scan(spark, d):
+    found = [lookup.resolve_symbol_scan(_parts(spark, d), needle).select(F.lit(needle).alias("needle"), "id") for needle in ("part:12", "BRAND", "PART:3")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("module_path", "SELECT page_id, regexp_replace(regexp_replace(url || '.' || page_id % 3, '\\\\', '/', 'g'), '([^/])\\.[^./]*$', '\\1') AS module FROM pages")
+def module_path(spark, d):
+    return table(spark, d, "pages").select("page_id", T.module_from_path(F.concat("url", F.lit("."), (F.col("page_id") % 3).cast("string"))).alias("module"))
+
+
+@query("embedding_text", "SELECT c_custkey, concat_ws(chr(10), c_name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END, CASE WHEN c_nationkey % 3 > 0 THEN c_mktsegment || '!' END) AS text FROM customer")
+def embedding_text(spark, d):
+    c = table(spark, d, "customer")
+    doc = F.when(F.col("c_nationkey") % 3 > 0, F.concat("c_mktsegment", F.lit("!"))).otherwise("")
+    return c.select("c_custkey", semantic.embedding_text(F.col("c_name"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")), doc, F.lit(None).cast("string")).alias("text"))
+
+
+@query(
+    "budget_skip_turns",
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, greatest(1, octet_length(encode(text)) // 4) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
+      WHERE greatest(1, octet_length(encode(text)) // 4) <= 120),
+    f AS (SELECT conv_id, turn, k, cost <= 120 AS taken, CASE WHEN cost <= 120 THEN cost ELSE 0 END AS used FROM c WHERE k = 1
+      UNION ALL SELECT c.conv_id, c.turn, c.k, f.used + cost <= 120, CASE WHEN f.used + cost <= 120 THEN f.used + cost ELSE f.used END FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1)
+    SELECT conv_id, CAST(turn AS VARCHAR) AS id, CAST(used AS BIGINT) AS used FROM f WHERE taken""",
+)
+def budget_skip_turns(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("cost"))
+    return fusion.budget_skip(c, "turn", "cost", 120, "conv_id", "turn")
