@@ -85,6 +85,18 @@ def parity_l1(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(b, "id", "full").agg(F.coalesce(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("other", F.lit(0.0)))), F.lit(0.0)).alias("l1"))
 
 
+def parity_lists(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row for two ranked lists ``id, pos, score``: ids on both sides and on one only, ids at other positions, and ids
+    whose scores are not the same double. All but the first are zero where two surfaces agree in set, order and bits."""
+    b = right.select("id", F.col("pos").alias("other_pos"), F.col("score").alias("other_score"), F.lit(True).alias("r"))
+    both = left.select("id", "pos", "score", F.lit(True).alias("l")).join(b, "id", "full")
+    met = F.col("l").isNotNull() & F.col("r").isNotNull()
+    return both.agg(
+        F.count_if(met).alias("n_both"), F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"),
+        F.count_if(met & ~F.col("pos").eqNullSafe(F.col("other_pos"))).alias("moved"), F.count_if(met & ~F.col("score").eqNullSafe(F.col("other_score"))).alias("changed"),
+    )
+
+
 def health(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """``check, status`` rows and their roll-up: fail dominates warn dominates ok; no symbol is a failure."""
     n, m = symbols.agg(F.count("*").alias("n")), edges.agg(F.count("*").alias("m"))

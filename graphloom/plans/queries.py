@@ -921,3 +921,110 @@ def embedding_text(spark, d):
 def budget_skip_turns(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("cost"))
     return fusion.budget_skip(c, "turn", "cost", 120, "conv_id", "turn")
+
+
+ORACLES["analysis_subgraph"] = f"""WITH e AS ({SMALL_SQL}), g AS (SELECT * FROM e WHERE kind <> 'imports' AND confidence > 0 AND src_id <> dst_id),
+    arcs AS (SELECT src_id AS a, dst_id AS b FROM g UNION SELECT dst_id, src_id FROM g), l0 AS (SELECT 'n:3' AS id),
+    l1 AS (SELECT DISTINCT b AS id FROM arcs JOIN l0 ON a = id WHERE b NOT IN (SELECT id FROM l0)),
+    l2 AS (SELECT DISTINCT b AS id FROM arcs JOIN l1 ON a = id WHERE b NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1))
+    SELECT id, CAST(hop AS INT) AS hop FROM (SELECT id, 0 AS hop FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2) ORDER BY hop, id LIMIT 96"""
+
+
+@query(
+    "reference_dependents",
+    """WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM benchmark WHERE item_id <= 5),
+    used AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(concat_ws(' ', source, text), '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents)
+    SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path FROM used JOIN names USING (name)""",
+)
+def reference_dependents(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.col("source").alias("signature"), F.col("text").alias("body_excerpt"))
+    names = table(spark, d, "benchmark").where("item_id <= 5").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
+    return planner.reference_dependents(docs, names)
+
+
+@query("resolved_pairs", f"WITH e AS ({FULL_SQL}) SELECT DISTINCT src_id, dst_id FROM e WHERE confidence > 0 AND src_id <> dst_id AND kind = 'writes'")
+def resolved_pairs(spark, d):
+    return graph.resolved_pairs(full_edges(spark, d), "writes")
+
+
+_LOOP = "CASE p_size % 5 WHEN 0 THEN 'constant' WHEN 1 THEN 'logarithmic' WHEN 2 THEN 'sqrt' ELSE 'linear' END"
+
+
+@query(
+    "loop_class",
+    f"""WITH p AS (SELECT p_partkey, {_LOOP} AS bound FROM part) SELECT p_partkey, CASE bound WHEN 'linear' THEN 'polynomial' ELSE bound END AS kind,
+    CAST(bound = 'linear' AS INT) AS degree, 0 AS log_power, CAST(bound = 'logarithmic' AS INT) AS power, 0 AS base FROM p""",
+)
+def loop_class(spark, d):
+    return table(spark, d, "part").select("p_partkey", A.loop_class(F.expr(_LOOP)).alias("c")).select("p_partkey", "c.*")
+
+
+@query(
+    "arg_reduction",
+    """WITH t AS (SELECT page_id AS id, html AS x FROM pages) SELECT id, CASE WHEN contains(x, '/ 2') OR contains(x, '/2') OR contains(x, '// 2') OR contains(x, '>> 1') OR contains(x, 'mid') THEN 'halving'
+    WHEN contains(x, '- 1') OR contains(x, '-1') OR contains(x, '- 2') OR contains(x, '+ 1') THEN 'decrement' ELSE 'none' END AS reduction FROM t""",
+)
+def arg_reduction(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), A.arg_reduction(F.col("html")).alias("reduction"))
+
+
+_IO_NAME = "list_extract(['query', 'fetch', 'post', 'ReadFile', 'other', 'raw', 'delete'], CAST(1 + event_id % 7 AS INT))"
+_IO_CALLEE = "list_extract(['db.run', 'axios', 'list', 'fs.open', 'requests', 'my.client'], CAST(1 + event_id % 6 AS INT))"
+_IO_TEXT = "CASE WHEN event_type = 'view' THEN 'SELECT x' WHEN event_type = 'purchase' THEN 'Insert Into t' ELSE event_type END"
+
+
+@query(
+    "io_kind",
+    f"""WITH c AS (SELECT event_id, {_IO_NAME} AS name, {_IO_CALLEE} AS callee, lower({_IO_TEXT}) AS text FROM events) SELECT event_id,
+    CASE WHEN name IN ('query', 'raw') OR contains(callee, 'db.') OR contains(text, 'select ') OR contains(text, 'insert into ') THEN 'database_query'
+      WHEN name = 'fetch' OR (name IN ('fetch', 'post', 'put', 'delete') AND (contains(callee, 'axios') OR contains(callee, 'requests') OR contains(callee, 'client') OR contains(callee, 'http'))) THEN 'network_rpc'
+      WHEN name = 'ReadFile' OR starts_with(callee, 'fs.') THEN 'filesystem_blocking' END AS kind FROM c""",
+)
+def io_kind(spark, d):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int") + 1)
+    name, callee = pick(("query", "fetch", "post", "ReadFile", "other", "raw", "delete"), 7), pick(("db.run", "axios", "list", "fs.open", "requests", "my.client"), 6)
+    return table(spark, d, "events").select("event_id", A.io_kind(name, callee, F.expr(_IO_TEXT)).alias("kind"))
+
+
+@query(
+    "sel_resolve",
+    f"WITH {_PARTS}, q AS (SELECT unnest(['part:9', 'part:3', 'part:none', 'part:200']) AS symbol_id, unnest([0, 1, 2, 3]) AS pos) SELECT CAST(pos AS INT) AS pos, id, name FROM q JOIN parts ON id = symbol_id",
+)
+def sel_resolve(spark, d):
+    return lookup.resolve_symbols(["part:9", "part:3", "part:none", "part:200"], _parts(spark, d))[0].select("pos", "id", "name")
+
+
+@query(
+    "symbol_upsert",
+    """SELECT c_custkey AS id, c_name || CASE WHEN c_custkey % 5 = 0 THEN '*' ELSE '' END AS name FROM customer UNION ALL SELECT -c_custkey, c_name || '*' FROM customer WHERE c_custkey % 5 = 1""",
+)
+def symbol_upsert(spark, d):
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = old.where("id % 5 IN (0, 1)").select(F.when(F.col("id") % 5 == 1, -F.col("id")).otherwise(F.col("id")).alias("id"), F.concat("name", F.lit("*")).alias("name"))
+    return store.upsert(old, new, ("id",))
+
+
+@query(
+    "edge_upsert",
+    f"""WITH e AS ({SMALL_SQL}) SELECT src_id, dst_id, kind, CASE WHEN kind = 'imports' THEN 0.25 ELSE confidence END AS confidence FROM e UNION ALL SELECT dst_id, src_id, 'imports', 0.25 FROM e WHERE kind = 'inherits'""",
+)
+def edge_upsert(spark, d):
+    e = small_edges(spark, d)
+    low = F.lit(0.25).alias("confidence")
+    fresh = e.where("kind = 'imports'").select("src_id", "dst_id", "kind", low).unionByName(e.where("kind = 'inherits'").select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), F.lit("imports").alias("kind"), low))
+    return store.upsert(e, fresh, ("src_id", "dst_id", "kind"))
+
+
+@query(
+    "parity_lists",
+    """WITH a AS (SELECT n_nationkey AS id, row_number() OVER (ORDER BY n_name) AS pos, n_nationkey / 7.0 AS score FROM nation WHERE n_nationkey > 1),
+    b AS (SELECT n_nationkey AS id, row_number() OVER (ORDER BY n_regionkey, n_name) AS pos, n_nationkey / 7.0 + CASE WHEN n_nationkey % 5 = 0 THEN 1e-9 ELSE 0 END AS score FROM nation WHERE n_nationkey < 22)
+    SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS n_both, count(*) FILTER (b.id IS NULL) AS only_left, count(*) FILTER (a.id IS NULL) AS only_right,
+      count(*) FILTER (a.pos <> b.pos) AS moved, count(*) FILTER (a.id % 5 = 0 AND b.id IS NOT NULL) AS changed FROM a FULL JOIN b ON a.id = b.id""",
+)
+def parity_lists(spark, d):
+    n = table(spark, d, "nation").withColumn("score", F.col("n_nationkey") / 7.0)
+    left = n.where("n_nationkey > 1").select(F.col("n_nationkey").alias("id"), F.row_number().over(Window.orderBy("n_name")).alias("pos"), "score")
+    moved = F.col("score") + F.when(F.col("n_nationkey") % 5 == 0, 1e-9).otherwise(0.0)
+    right = n.where("n_nationkey < 22").select(F.col("n_nationkey").alias("id"), F.row_number().over(Window.orderBy("n_regionkey", "n_name")).alias("pos"), moved.alias("score"))
+    return E.parity_lists(left, right)
