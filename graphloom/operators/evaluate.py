@@ -49,6 +49,34 @@ def regression_gate(before: DataFrame, after: DataFrame, key: str, noise: float
     return both.select(key, (F.size(reasons) == 0).alias("passed"), F.array_join(reasons, ",").alias("reasons"))
 
 
+def rankings_stable(before: DataFrame, after: DataFrame, altered: DataFrame, k: int = 10) -> DataFrame:
+    """One row ``stable``: every query of ``before(q, id, rank)`` that is not in ``altered(q)`` has the same ``k`` best after.
+
+    A query that ranks nothing has no row on either side and is stable; queries only ``after`` has do not matter.
+    """
+    queries = before.select("q").distinct().join(altered.select("q").distinct(), "q", "left_anti")
+    b, a = (x.where(F.col("rank") <= k).select("q", "rank", "id").join(queries, "q", "left_semi") for x in (before, after))
+    both = b.withColumnRenamed("id", "b_id").join(a.withColumnRenamed("id", "a_id"), ["q", "rank"], "full")
+    return both.agg((F.count_if(~F.col("b_id").eqNullSafe(F.col("a_id"))) == 0).alias("stable"))
+
+
+def retrieval_gate(before: dict, after: dict, altered: DataFrame, k: int = 10, tolerance: float = 0.05) -> DataFrame:
+    """One row ``passed, stable, degraded``: unaltered queries keep their ``k`` best and no mean metric is worse than tolerated.
+
+    Sides are ``{generation, corpus, ranked, metrics}`` with ``ranked(q, id, rank)`` and one row of mean ``metrics``. Sides
+    of another generation or corpus are not comparable and are refused.
+    """
+    for what in ("generation", "corpus"):
+        if before[what] != after[what]:
+            raise ValueError(f"EVAL: refused, {what} {before[what]} != {after[what]}")
+    names = ("recall", "precision", "mrr", "contamination")
+    b = before["metrics"].select(*[F.col(c).alias(f"b_{c}") for c in names])
+    worse = [F.when((F.col("contamination") > F.col("b_contamination") + tolerance) if c == "contamination" else (F.col(c) < F.col(f"b_{c}") - tolerance), F.lit(c)) for c in names]
+    one = after["metrics"].crossJoin(b).crossJoin(rankings_stable(before["ranked"], after["ranked"], altered, k))  # three single rows
+    degraded = F.concat_ws(",", *worse)
+    return one.select((F.col("stable") & (degraded == "")).alias("passed"), "stable", degraded.alias("degraded"))
+
+
 def coverage_gate(code_before: Column, code_after: Column, other_before: Column, other_after: Column, epsilon: float = 0.01) -> Column:
     """Promote only if code holds within epsilon and the rest is strictly better; anything unmeasured blocks."""
     known = code_before.isNotNull() & code_after.isNotNull() & other_before.isNotNull() & other_after.isNotNull()
@@ -174,6 +202,57 @@ def reach_recall(edges: DataFrame, golden: DataFrame, depth: int) -> DataFrame:
     return hit.agg(F.count("*").alias("n"), F.count("hit").alias("reached")).select("n", "reached", F.when(F.col("n") == 0, 0.0).otherwise(F.col("reached") / F.col("n")).alias("recall"))
 
 
+def relevant_symbols(symbols: DataFrame, golden: DataFrame) -> DataFrame:
+    """``q, id`` of symbols that a golden row ``q, name, part`` names: an equal name, and the part in the normalized path."""
+    path = F.lower(F.replace("file_path", F.lit("\\"), F.lit("/")))
+    known = symbols.select("id", "name", path.alias("path"))
+    return golden.join(known, "name").where(F.contains("path", "part")).select("q", "id").distinct()
+
+
+def offline_harness(symbols: DataFrame, golden: DataFrame, rankings: dict[str, DataFrame], hub_ids: DataFrame, k: int = 10) -> DataFrame:
+    """``method, n_eval, n_skipped`` and mean metrics of each ranking ``q, id, rank`` over a golden set.
+
+    Queries without a resolvable label are skipped and counted. A query that a method ranks nothing for counts as zeros.
+    """
+    relevant = relevant_symbols(symbols, golden)
+    asked = golden.select("q").distinct()
+    judged = relevant.select("q").distinct()
+    counts = asked.join(judged.withColumn("known", F.lit(1)), "q", "left").agg(F.count("known").alias("n_eval"), F.count_if(F.col("known").isNull()).alias("n_skipped"))
+    out = None
+    for method, ranked in rankings.items():
+        rows = retrieval_metrics(ranked.join(judged, "q", "left_semi"), relevant, hub_ids, k)
+        means = mean_metrics(judged.join(rows, "q", "left").fillna(0.0))
+        one = counts.crossJoin(means).select(F.lit(method).alias("method"), "n_eval", "n_skipped", "recall", "precision", "contamination", "mrr")  # two single rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def cards(symbols: DataFrame, level: str = "module") -> tuple[DataFrame, DataFrame]:
+    """Cards of symbols by directory (``module``) or first directory (``top``): ``key, id`` members and ``key, token`` words.
+
+    Both are long tables, so a directory of any size stays distributed.
+    """
+    from ..functions.text import camel_tokens
+
+    parts = F.filter(F.split(F.replace("file_path", F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    if level == "top":
+        key = F.when(F.size(parts) == 0, F.lit("<root>")).otherwise(F.get(parts, 0))
+    else:
+        key = F.when(F.size(parts) <= 1, F.lit("<root>")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), "/"))
+    text = F.concat_ws(" ", "key", "name", "qualified_name", "body_excerpt")
+    keyed = symbols.withColumn("key", key)
+    return keyed.select("key", "id"), keyed.select("key", F.explode(F.array_distinct(camel_tokens(text))).alias("token")).distinct()
+
+
+def score_cards(words: DataFrame, query: str) -> DataFrame:
+    """``key, score``: how many of the query's distinct words a card holds, best first, ties by key."""
+    from ..functions.text import camel_tokens
+
+    asked = words.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(camel_tokens(F.col("q")))).alias("token"))
+    hits = words.join(F.broadcast(asked), "token", "left_semi")  # as many rows as the query has words
+    return hits.groupBy("key").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "key")
+
+
 def structure_report(stats: dict, by_kind: dict[str, int], metrics: dict | None = None) -> tuple[str, str]:
     """JSON and Markdown of one structure evaluation."""
     import json

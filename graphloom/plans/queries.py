@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
@@ -15,26 +14,10 @@ from ..operators import fusion, graph, impact, lexical, lookup, resolve, semanti
 from ..plans import planner
 from ..sources import store
 from ..streaming import coalesce
+from . import code_queries  # noqa: F401  (registers its queries)
 from . import samples as S
 from .graph_tables import FULL_SQL, SMALL_SQL, TREE_SQL, full_edges, nodes_of, small_edges, table, tree_edges
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def r(c, n: int = 6):
-    return F.round(c, n)
-
+from .registry import ORACLES, QUERIES, query, r
 
 # ---- text
 

@@ -132,13 +132,17 @@ _METHOD = re.compile(rf"(?:^|[;{{}}\n])\s*(?:@\w+(?:\([^)]*\))?\s*)*((?:(?:publi
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "do", "else", "try", "new", "foreach", "using", "lock"}
 
 
+#: What opens or closes a Ruby block; the ``do`` of a loop head belongs to the loop.
+_RUBY_BLOCK = re.compile(r"(?m)^[ \t]*(?:while|until|for)\b[^\n]*?(?:\bdo\b|$)|^[ \t]*(?:class|module|def|if|unless|case|begin)\b|\bdo\b|\bend\b")
+
+
 def _end_of(language: str, masked: str, at: int) -> int:
     if language == "ruby":
-        depth = 0
-        for m in re.finditer(r"(?m)^[ \t]*(?:class|module|def|if|unless|while|until|case|begin|for)\b|\bdo\b|\bend\b", masked[at:]):
+        depth = 1  # of the head itself, whose name stands at ``at``
+        for m in _RUBY_BLOCK.finditer(masked, at):
             depth += -1 if m[0].strip() == "end" else 1
             if not depth:
-                return at + m.end()
+                return m.end()
         return len(masked)
     brace, semi = masked.find("{", at), masked.find(";", at)
     if brace < 0 or 0 <= semi < brace:
@@ -224,8 +228,10 @@ def markdown_symbols(text: str) -> list[Row]:
         if head and not fence and not mark:
             heads.append((k, (head[2] or "").strip() or f"section-{k + 1}"))
     out: list[Row] = []
-    stop = heads[0][0] if heads else len(lines)
-    if heads and "".join(lines[:stop]).strip():
+    if not heads:
+        return out
+    stop = heads[0][0]
+    if "".join(lines[:stop]).strip():
         out.append(("var", "preamble", "preamble", 1, stop, None, None, "\n".join(lines[:stop])))
     for (k, name), end in zip(heads, [*(h[0] for h in heads[1:]), len(lines)], strict=True):
         out.append(("var", name, name, k + 1, end, lines[k].strip(), None, "\n".join(lines[k:end])))
