@@ -206,7 +206,8 @@ def relevant_symbols(symbols: DataFrame, golden: DataFrame) -> DataFrame:
     """``q, id`` of symbols that a golden row ``q, name, part`` names: an equal name, and the part in the normalized path."""
     path = F.lower(F.replace("file_path", F.lit("\\"), F.lit("/")))
     known = symbols.select("id", "name", path.alias("path"))
-    return golden.join(known, "name").where(F.contains("path", "part")).select("q", "id").distinct()
+    part = F.lower(F.replace("part", F.lit("\\"), F.lit("/")))
+    return golden.join(known, "name").where(F.contains("path", part)).select("q", "id").distinct()
 
 
 def offline_harness(symbols: DataFrame, golden: DataFrame, rankings: dict[str, DataFrame], hub_ids: DataFrame, k: int = 10) -> DataFrame:
@@ -227,6 +228,18 @@ def offline_harness(symbols: DataFrame, golden: DataFrame, rankings: dict[str, D
     return out
 
 
+def graph_ranking(symbols: DataFrame, arcs: DataFrame, query: str, seed_k: int = 10, k: int = 10, text_col: str = "text") -> DataFrame:
+    """``id, rank``: masses diffused over ``arcs`` from the ``seed_k`` best tf-idf hits of ``symbols(id, text)``; no seed, no rows."""
+    from .fusion import seed_distribution
+    from .graph import diffuse, row_positions
+    from .lexical import tfidf_search
+
+    hits = tfidf_search(symbols, "id", text_col, query, seed_k).select(F.col("id").alias("symbol_id"), "score", F.lit("lexical").alias("layer"))
+    seeds = seed_distribution(hits, symbols.select("id")).select(F.col("symbol_id").alias("id"), "mass")
+    best = diffuse(arcs, seeds, k)
+    return row_positions(best, [F.desc("score"), "symbol_id"]).select(F.col("symbol_id").alias("id"), F.col("pos").alias("rank"))
+
+
 def cards(symbols: DataFrame, level: str = "module") -> tuple[DataFrame, DataFrame]:
     """Cards of symbols by directory (``module``) or first directory (``top``): ``key, id`` members and ``key, token`` words.
 
@@ -245,12 +258,12 @@ def cards(symbols: DataFrame, level: str = "module") -> tuple[DataFrame, DataFra
 
 
 def score_cards(words: DataFrame, query: str) -> DataFrame:
-    """``key, score``: how many of the query's distinct words a card holds, best first, ties by key."""
+    """``key, score``: how many of the query's words (repeats count) a card holds, best first, ties by key."""
     from ..functions.text import camel_tokens
 
-    asked = words.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(camel_tokens(F.col("q")))).alias("token"))
-    hits = words.join(F.broadcast(asked), "token", "left_semi")  # as many rows as the query has words
-    return hits.groupBy("key").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "key")
+    asked = words.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(camel_tokens(F.col("q"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    hits = words.join(F.broadcast(asked), "token")  # as many rows as the query has words
+    return hits.groupBy("key").agg(F.sum("n").alias("score")).orderBy(F.desc("score"), "key")
 
 
 def structure_report(stats: dict, by_kind: dict[str, int], metrics: dict | None = None) -> tuple[str, str]:

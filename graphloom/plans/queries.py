@@ -800,6 +800,71 @@ def health(spark, d):
     return E.health(nodes_of(e), e)
 
 
+def _gate_side(spark, d, fall: float, swap: bool) -> dict:
+    """One side of the gate: rankings by length, the two longest of each source swapped on request, and lowered means."""
+    best = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    ranked = table(spark, d, "documents").select(F.col("source").alias("q"), F.col("doc_id").alias("id"), F.row_number().over(best).alias("rank"))
+    if swap:
+        ranked = ranked.withColumn("rank", F.when(F.col("rank") <= 2, 3 - F.col("rank")).otherwise(F.col("rank")))
+    return {"generation": 1, "corpus": "documents", "ranked": ranked, "metrics": E.mean_metrics(_metrics(spark, d)).withColumn("mrr", F.col("mrr") - fall)}
+
+
+@query(
+    "gate_retrieval",
+    """SELECT unnest(['altered', 'same', 'swapped', 'worse']) AS side, unnest([true, true, false, false]) AS passed, unnest([true, true, false, true]) AS stable, unnest(['', '', '', 'mrr']) AS degraded
+    WHERE (SELECT max(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source)) > 1""",
+)
+def gate_retrieval(spark, d):
+    all_q = table(spark, d, "documents").select(F.col("source").alias("q")).distinct()
+    none, base = all_q.where("false"), _gate_side(spark, d, 0.0, False)
+    sides = {"same": (base, none), "swapped": (_gate_side(spark, d, 0.0, True), none), "altered": (_gate_side(spark, d, 0.0, True), all_q), "worse": (_gate_side(spark, d, 0.1, False), none)}
+    out = [E.retrieval_gate(base, side, skip).select(F.lit(name).alias("side"), "passed", "stable", "degraded") for name, (side, skip) in sides.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(
+    "harness_offline",
+    """WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand || '/' || p_size || '.py' AS path, p_brand AS b FROM part),
+    g AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN 'none' ELSE p_brand END AS q, p_name AS name, CASE WHEN p_size % 5 = 0 THEN 'no/such' ELSE p_brand || '/' || p_size END AS part FROM part),
+    rel AS (SELECT DISTINCT q, id FROM g JOIN s USING (name) WHERE contains(lower(path), lower(part))),
+    rk AS (SELECT b AS q, id, row_number() OVER (PARTITION BY b ORDER BY id) AS up, row_number() OVER (PARTITION BY b ORDER BY id DESC) AS down FROM s),
+    two AS (SELECT 'up' AS method, q, id, up AS rank FROM rk UNION ALL SELECT 'down', q, id, down FROM rk),
+    m AS (SELECT method, q, sum(CAST(rank <= 10 AND rel.id IS NOT NULL AS INT)) / any_value(n) AS recall, sum(CAST(rank <= 10 AND rel.id IS NOT NULL AS INT)) / 10.0 AS precision,
+      sum(CAST(rank <= 10 AND two.id % 7 = 0 AS INT)) / 10.0 AS contamination, coalesce(1.0 / min(CASE WHEN rel.id IS NOT NULL THEN rank END), 0) AS mrr
+      FROM two LEFT JOIN rel USING (q, id) JOIN (SELECT q, count(*) AS n FROM rel GROUP BY q) c USING (q) GROUP BY method, q)
+    SELECT method, (SELECT count(DISTINCT q) FROM rel) AS n_eval, (SELECT count(DISTINCT q) FROM g) - (SELECT count(DISTINCT q) FROM rel) AS n_skipped, round(avg(recall), 6) AS recall,
+      round(avg(precision), 6) AS precision, round(avg(contamination), 6) AS contamination, round(avg(mrr), 6) AS mrr FROM m GROUP BY method""",
+)
+def harness_offline(spark, d):
+    """Parts as symbols, brands as golden queries, two rankings; every fifth size names nothing that exists."""
+    p = table(spark, d, "part")
+    size = F.col("p_size").cast("string")
+    symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("/"), size, F.lit(".py")).alias("file_path"), F.col("p_brand").alias("q"))
+    odd = F.col("p_size") % 5 == 0
+    golden = p.select(F.when(odd, "none").otherwise(F.col("p_brand")).alias("q"), F.col("p_name").alias("name"), F.when(odd, "no/such").otherwise(F.concat("p_brand", F.lit("/"), size)).alias("part"))
+    ranked = {m: symbols.select("q", "id", F.row_number().over(Window.partitionBy("q").orderBy(o)).alias("rank")) for m, o in (("up", F.asc("id")), ("down", F.desc("id")))}
+    out = E.offline_harness(symbols, golden, ranked, symbols.where("id % 7 = 0").select("id"))
+    return out.select("method", "n_eval", "n_skipped", *[r(c).alias(c) for c in _FOUR])
+
+
+_CARDS = f"""s AS (SELECT p_brand || '/' || p_size || '/x.py' AS file_path, p_name AS name, p_type AS body, p_brand || '/' || p_size AS module, p_brand AS top FROM part),
+  w AS (SELECT DISTINCT key, t AS token FROM (SELECT key, unnest({_CAMEL.format(t="concat_ws(' ', key, name, name, body)")}) AS t FROM (SELECT *, {{key}} AS key FROM s)) WHERE length(t) > 1)"""
+
+
+def _cards(spark, d, level: str) -> DataFrame:
+    p = table(spark, d, "part")
+    path = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("/x.py"))
+    symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"), F.col("p_type").alias("body_excerpt"), path.alias("file_path"))
+    return E.score_cards(E.cards(symbols, level)[1], "Brand steel STEEL copperRing")
+
+
+for _level in ("module", "top"):
+    query(
+        f"cards_{_level}",
+        f"WITH {_CARDS.format(key=_level)} SELECT key, CAST(sum(n) AS BIGINT) AS score FROM w JOIN (VALUES ('brand', 1), ('steel', 2), ('copper', 1), ('ring', 1)) q(token, n) USING (token) GROUP BY key",
+    )(lambda spark, d, level=_level: _cards(spark, d, level))
+
+
 # ---- flagship
 
 @query(
