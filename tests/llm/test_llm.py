@@ -772,6 +772,26 @@ def test_suffix_edges(spark):
     assert suffix.remove_repeats(empty(spark)).collect() == []
 
 
+def test_suffix_copies(spark, monkeypatch):
+    """Copies of one partition collapse before the shuffle, in any order of ids and however little is remembered."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (49, 50, 51, 304, 305, 2000)]
+    rows = [(k, texts[k % 6] if k % 5 else texts[k % 6] + "tail") for k in range(120)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(df).collect()}
+    assert got == brute_repeats(rows)
+    known: dict = {}
+    monkeypatch.setattr(suffix, "_REMEMBER", 2)
+    a, b, c = (x.encode() for x in texts[1:4])
+    ids, kept, (gone, starts) = suffix._collapse([5, 3, 4, 9, 9], [a, a, a, b, b], known, 50)
+    assert ids == [5, 3, 9] and kept == [a, a, b] and gone.tolist() == [4] and starts.tolist() == [1]
+    ids, _, (gone, _) = suffix._collapse([10, 11], [c, a], known, 50)
+    assert ids == [10, 11] and not len(gone) and len(known) == 2
+    doc, lo, n = suffix._whole_spans(suffix._whole(np.array([7, 8]), np.array([1, 600]), 4).column(1)[0].as_py())
+    assert list(zip(doc.tolist(), lo.tolist(), n.tolist(), strict=True)) == [(7, 0, 1), (8, 0, 255), (8, 255, 255), (8, 510, 90)]
+
+
 def test_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(suffix, "_CHUNK", 64)
     suffix._Hasher._tables.clear()
