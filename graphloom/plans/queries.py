@@ -14,7 +14,7 @@ from ..operators import fusion, graph, impact, lexical, lookup, resolve, semanti
 from ..plans import planner
 from ..sources import store
 from ..streaming import coalesce
-from . import code_queries  # noqa: F401  (registers its queries)
+from . import code_queries, tool_queries  # noqa: F401  (register their queries)
 from . import samples as S
 from .graph_tables import FULL_SQL, SMALL_SQL, TREE_SQL, full_edges, nodes_of, small_edges, table, tree_edges
 from .registry import ORACLES, QUERIES, query, r

@@ -9,6 +9,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,35 @@ def audit_line(tool: str, args: dict, ok: bool, ts: int) -> str:
     return json.dumps({"ts": ts, "tool": tool, "args_hash": hashlib.sha256(canonical.encode()).hexdigest(), "ok": ok}, separators=(",", ":"))
 
 
+class AuditLog:
+    """Appends one line a call to a file; a log that cannot be written never fails the call."""
+
+    def __init__(self, path: str, clock: Callable[[], float] = time.time):
+        self.path, self.clock = path, clock
+
+    def record(self, tool: str, args: dict, ok: bool) -> None:
+        try:
+            with open(self.path, "a", encoding="utf-8") as out:
+                out.write(audit_line(tool, args, ok, int(self.clock())) + "\n")
+        except (OSError, TypeError, ValueError):
+            pass
+
+
+class Resident:
+    """The symmetric graph of one generation, kept until another generation is asked for. Engines may share one."""
+
+    def __init__(self):
+        self.lock, self.key, self.arcs = threading.Lock(), None, None
+
+    def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        with self.lock:
+            if key != self.key:
+                if self.arcs is not None:
+                    self.arcs.unpersist()
+                self.key, self.arcs = key, make().persist(StorageLevel.MEMORY_AND_DISK)
+            return self.arcs
+
+
 @dataclass
 class Result:
     rows: DataFrame | None
@@ -93,7 +123,8 @@ class Result:
 class Engine:
     """Tools over the generation that was current when the engine was made."""
 
-    def __init__(self, spark: SparkSession, store: Store, embedder: semantic.Embedder | None = None, fingerprint: str | None = None, soft: float = 5.0, hard: float = 10.0, admission: Admission | None = None):
+    def __init__(self, spark: SparkSession, store: Store, embedder: semantic.Embedder | None = None, fingerprint: str | None = None, soft: float = 5.0, hard: float = 10.0, admission: Admission | None = None, resident: Resident | None = None, audit: AuditLog | None = None):
+        self.resident, self.audit = resident or Resident(), audit
         self.spark, self.snapshot = spark, store.snapshot()
         self.embedder, self.fingerprint = embedder, fingerprint
         self.limits, self.admission = (soft, hard), admission or Admission()
@@ -128,10 +159,25 @@ class Engine:
         return hits.join(self.symbols.withColumnRenamed("id", "symbol_id").select("symbol_id", "kind", "name", "qualified_name", "file_path", "line_start", "untrusted_flags"), "symbol_id")
 
     def _diffuse(self, hits: DataFrame, k: int, alpha: float, eps: float) -> DataFrame:
-        arcs = graph.symmetric(self.edges, self.symbols.select("id"))
+        state = self.snapshot.state
+        key = (self.spark.sparkContext.applicationId, state["generation"], state["tables"]["symbol"], state["tables"]["edge"])
+        arcs = self.resident.get(key, lambda: graph.symmetric(self.edges, self.symbols.select("id")))
         seeds = fusion.seed_distribution(hits, self.symbols.select("id"))
         return graph.diffuse(arcs, seeds.select(F.col("symbol_id").alias("id"), "mass"), k, alpha, eps)
 
+    def call(self, tool: str, **args) -> Result:
+        """A tool by name, with a line in the audit log whether it succeeds or fails."""
+        if tool not in TOOLS:
+            raise ToolError("INVALID_ARGUMENT", f"tool {tool!r}")
+        ok = False
+        try:
+            out = getattr(self, tool)(**args)
+            ok = True
+            return out
+        finally:
+            if self.audit:
+                self.audit.record(tool, args, ok)
+
     # -- tools
 
     def symbol_search(self, query: str, k: int = 8) -> Result:
@@ -264,4 +310,9 @@ class Engine:
         return self.analyze_patch_impact()
 
 
+# The tools that can be called by name.
+TOOLS = (
+    "symbol_search", "semantic_search", "discover_symbols", "diffuse_context", "symbol_lookup", "dependency_trace", "resolve_symbols", "retrieve_context_capsule",
+    "analyze_patch_impact", "inspect_symbol_complexity", "trace_blast_radius", "suggest_optimal_refactor",
+)
 _RESOLVE = ("id", "kind", "name", "language", "module", "file_path", "signature", "body_excerpt")

@@ -4,7 +4,7 @@ import pytest
 
 from graphloom.operators.analysis import propagate, summarize
 from graphloom.plans.planner import build_batch
-from graphloom.plans.tools import Admission, Deadline, Engine, ToolError, audit_line
+from graphloom.plans.tools import Admission, AuditLog, Deadline, Engine, Resident, ToolError, audit_line
 from graphloom.sources.store import Store, digest
 from graphloom.sources.walk import walk
 
@@ -119,3 +119,21 @@ def test_caps():
     with gate, pytest.raises(ToolError), gate:
         pass
     assert audit_line("t", {"b": 1, "a": 2}, True, 1) == audit_line("t", {"a": 2, "b": 1}, True, 1)
+
+
+def test_resident_and_audit(spark, indexed, tmp_path):
+    _, store, _ = indexed
+    shared, log = Resident(), tmp_path / "audit.jsonl"
+    a, b = (Engine(spark, store, soft=600, hard=900, resident=shared, audit=AuditLog(str(log), lambda: 7.0)) for _ in range(2))
+    first = a.call("diffuse_context", query="findUser", k=3).rows.collect()
+    arcs = shared.arcs
+    assert arcs.is_cached and b.call("diffuse_context", query="findUser", k=3).rows.collect() == first and shared.arcs is arcs
+    with pytest.raises(ToolError):
+        a.call("symbol_lookup", name_or_id="nope-nothing")
+    with pytest.raises(ToolError):
+        a.call("snapshot")
+    lines = log.read_text().splitlines()
+    assert len(lines) == 3 and lines[0] == lines[1] and '"ok":false' in lines[2] and '"ts":7' in lines[0]
+    shared.get(("other",), lambda: spark.range(1))
+    assert not arcs.is_cached
+    AuditLog(str(tmp_path / "no" / "dir")).record("t", {}, True)

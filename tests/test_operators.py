@@ -291,3 +291,24 @@ def test_streams(spark, tmp_path):
     finally:
         query.stop()
     assert found == {("p1", "delete"), ("p2", "create")}
+
+
+def test_graph_ranking_and_gate(spark):
+    from graphloom.operators import evaluate, graph
+
+    symbols = spark.createDataFrame([("a", "parse tokens"), ("b", "emit rows"), ("c", "tokens again"), ("d", "alone")], "id string, text string")
+    arcs = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 1.0), ("d", "d", 1.0)], "u string, v string, w double")
+    got = {r["id"]: r["rank"] for r in evaluate.graph_ranking(symbols, arcs, "tokens", 1, 10).collect()}
+    seed = evaluate.graph_ranking(symbols, arcs, "tokens", 1, 10).where("rank = 1").first()["id"]
+    g = graph.Csr(["a", "b", "c", "d"], [(r["u"], r["v"], r["w"]) for r in arcs.collect()])
+    exact = dict(zip(g.ids, graph.ppr_exact(g, [(g.index["a" if seed not in "ac" else seed], 1.0)]), strict=True))
+    want = sorted((x for x in exact if exact[x] > 0), key=lambda x: (-exact[x], x))
+    assert sorted(got, key=got.get) == want and "d" not in got
+    assert evaluate.graph_ranking(symbols, arcs, "unknown", 3, 10).collect() == []
+    side = {"generation": 1, "corpus": "x", "ranked": None, "metrics": None}
+    for other in ({"generation": 2}, {"corpus": "y"}):
+        try:
+            evaluate.retrieval_gate(side, side | other, None)
+            raise AssertionError
+        except ValueError as e:
+            assert "refused" in str(e)
