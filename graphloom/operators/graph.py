@@ -152,7 +152,8 @@ def ppr_push_rounds(arcs: DataFrame, seeds: DataFrame, alpha: float = ALPHA, eps
     """``id, estimate, residual``: forward push of all active nodes a round.
 
     Each push moves at least alpha * epsilon * degree out of the residual, so pushed degrees sum to at most
-    1 / (alpha * epsilon) as in the sequential form; an active-set filter keeps every round's join to the frontier.
+    1 / (alpha * epsilon) as in the sequential form; an active-set filter keeps every round's join to the frontier. A push
+    that is not done after ``most`` rounds raises an error.
     """
     deg = cut(degrees(arcs))
     state = cut(seeds.select("id", F.lit(0.0).alias("estimate"), F.col("mass").alias("residual")))
@@ -160,12 +161,12 @@ def ppr_push_rounds(arcs: DataFrame, seeds: DataFrame, alpha: float = ALPHA, eps
         ranked = state.join(deg, "id", "left").withColumn("hot", F.coalesce(F.col("residual") >= epsilon * F.col("degree"), F.lit(False)))
         hot = ranked.where("hot")
         if hot.isEmpty():
-            break
+            return state
         spread = arcs.join(hot.select(F.col("id").alias("u"), "residual", "degree"), "u")
         gained = spread.select(F.col("v").alias("id"), F.lit(0.0).alias("estimate"), ((1 - alpha) * F.col("residual") * F.col("w") / F.col("degree")).alias("residual"))
         kept = ranked.select("id", (F.col("estimate") + F.when(F.col("hot"), alpha * F.col("residual")).otherwise(0.0)).alias("estimate"), F.when(F.col("hot"), 0.0).otherwise(F.col("residual")).alias("residual"))
         state = cut(kept.unionByName(gained).groupBy("id").agg(F.sum("estimate").alias("estimate"), F.sum("residual").alias("residual")))
-    return state
+    raise RuntimeError(f"residuals are still over the threshold after {most} rounds")
 
 
 class Csr:
