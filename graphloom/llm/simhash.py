@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, stage_table
+from .common import connected_components, free_name, shuffled_join, stage_table
 
 SEED = 42
 
@@ -119,7 +119,7 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 2, small: int = 512) ->
         return _ball_stars(fps, radius)
     keyed = _variants(fps, radius, blocks).repartition("key")
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = stage_table(keyed.join(size, "key"), "ball-crowded")
+    crowded = stage_table(shuffled_join(keyed, size, "key"), "ball-crowded")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = crowded.where("n = 2").groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(near).select("a", "b")
     few = crowded.where((F.col("n") > 2) & (F.col("n") <= small)).groupBy("key").agg(F.collect_list("fp").alias("members"))
@@ -132,7 +132,7 @@ def _ball_stars(fps: DataFrame, radius: int) -> DataFrame:
     """Stars over buckets of whole variants: members differ in at most ``radius`` bits (an even radius) by construction."""
     keyed = _variants(fps, radius, 1).select("key", "fp")
     first = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a")
-    found = keyed.join(first, "key").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+    found = shuffled_join(keyed, first, "key").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -368,7 +368,7 @@ def near_components(
     keyed = nodes.where("n > 0").select("node", F.explode("bases").alias("base")).select("node", "base", masks)
     keyed = keyed.select(F.col("base").bitwiseXOR(F.col("mask")).alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = stage_table(keyed.join(shared, "key"), "near-met")
+    met = stage_table(shuffled_join(keyed, shared, "key"), "near-met")
 
     def loosely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):

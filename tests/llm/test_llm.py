@@ -864,3 +864,20 @@ def test_oracles(spark, name):
     df = QUERIES[name](spark, sf)
     assert sorted(names) == sorted(df.columns)
     assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(found.fetchall(), key=repr)
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Explode keeps Spark's size estimate, so small files look small enough to broadcast however many variants they make."""
+    plans, real = {}, simhash.stage_table
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(simhash, "stage_table", noted)
+    docs = spark.createDataFrame([(k, f"one two three four five six seven {k % 3}") for k in range(9)], "doc_id long, text string")
+    assert simhash.near_components(docs).count() == 9
+    assert simhash.simhash_components(docs).count() == 9
+    assert simhash.simhash_components(docs, blocks=1).count() == 9
+    for name in ("near-met", "ball-crowded", "simhash-links"):
+        assert "Join" in plans[name] and "Broadcast" not in plans[name], name
