@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, hub_ids: DataFrame, k: int = 10) -> DataFrame:
     """Per query: recall and precision at ``k``, contamination by hubs over ``k``, reciprocal rank over the full order.
@@ -13,7 +15,8 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, hub_ids: DataFrame
     """
     rel = relevant.select("q", "id").distinct()
     n = rel.groupBy("q").agg(F.count("*").alias("n_rel"))
-    marked = ranked.join(rel.withColumn("hit", F.lit(1)), ["q", "id"], "left").join(hub_ids.select("id").distinct().withColumn("hub", F.lit(1)), "id", "left")
+    hubs = hub_ids.select("id").distinct().withColumn("hub", F.lit(1))
+    marked = ranked.join(rel.withColumn("hit", F.lit(1)).hint("merge"), ["q", "id"], "left").join(hubs.hint("merge"), "id", "left")
     top = F.col("rank") <= k
     agg = marked.groupBy("q").agg(
         F.sum(F.when(top & F.col("hit").isNotNull(), 1).otherwise(0)).alias("hits"),
@@ -203,11 +206,18 @@ def reach_recall(edges: DataFrame, golden: DataFrame, depth: int) -> DataFrame:
 
 
 def relevant_symbols(symbols: DataFrame, golden: DataFrame) -> DataFrame:
-    """``q, id`` of symbols that a golden row ``q, name, part`` names: an equal name, and the part in the normalized path."""
+    """``q, id`` of symbols that a golden row ``q, name, part`` names: an equal name, and the part in the normalized path.
+
+    Distinct golden rows meet distinct paths of a name; repeats of either and the ids come in only where a part is found, so
+    a name that many symbols share costs no product of its repeats. No side is broadcast: repeats make small files.
+    """
     path = F.lower(F.replace("file_path", F.lit("\\"), F.lit("/")))
     known = symbols.select("id", "name", path.alias("path"))
     part = F.lower(F.replace("part", F.lit("\\"), F.lit("/")))
-    return golden.join(known, "name").where(F.contains("path", part)).select("q", "id").distinct()
+    asked = golden.select("q", "name", part.alias("part")).distinct()
+    files = known.select("name", "path").distinct()
+    found = asked.join(files.hint("merge"), "name").where(F.contains("path", "part")).select("q", "name", "path").distinct()
+    return found.join(known.hint("merge"), ["name", "path"]).select("q", "id").distinct()
 
 
 def offline_harness(symbols: DataFrame, golden: DataFrame, rankings: dict[str, DataFrame], hub_ids: DataFrame, k: int = 10) -> DataFrame:
@@ -215,7 +225,7 @@ def offline_harness(symbols: DataFrame, golden: DataFrame, rankings: dict[str, D
 
     Queries without a resolvable label are skipped and counted. A query that a method ranks nothing for counts as zeros.
     """
-    relevant = relevant_symbols(symbols, golden)
+    relevant = cut(relevant_symbols(symbols, golden))  # each method reads it again
     asked = golden.select("q").distinct()
     judged = relevant.select("q").distinct()
     counts = asked.join(judged.withColumn("known", F.lit(1)), "q", "left").agg(F.count("known").alias("n_eval"), F.count_if(F.col("known").isNull()).alias("n_skipped"))

@@ -312,3 +312,19 @@ def test_graph_ranking_and_gate(spark):
             raise AssertionError
         except ValueError as e:
             assert "refused" in str(e)
+
+
+def test_relevant_symbols_without_product_of_repeats(spark):
+    """Many symbols and golden rows of one name: distinct rows meet before ids come in, and null queries stay."""
+    from graphloom.operators import evaluate as E
+
+    symbols = spark.createDataFrame([(k, "run", f"Jobs\\J{k % 3}.py") for k in range(900)] + [(1000, "run", None), (1001, None, "jobs/j1.py")], "id long, name string, file_path string")
+    golden = spark.createDataFrame([(q, "run", p) for q, p in (("a", "jobs/J1"), ("b", "JOBS/"), (None, "j2.py"), ("c", "j9")) for _ in range(300)] + [("d", None, "j1")], "q string, name string, part string")
+    got = E.relevant_symbols(symbols, golden)
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, x in enumerate(lines) if "Join" in x and "Contains" in x)
+    left, right = (next(x for x in lines[at + 1 :] if x[len(lines[at]) - len(lines[at].lstrip(" :+-")) :].startswith(mark)) for mark in (":- ", "+- "))
+    assert "Aggregate" in left and "Aggregate" in right
+    want = {("a", k) for k in range(900) if k % 3 == 1} | {("b", k) for k in range(900)} | {(None, k) for k in range(900) if k % 3 == 2}
+    rows = [(r["q"], r["id"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
