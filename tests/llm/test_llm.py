@@ -811,6 +811,41 @@ def test_long_text_in_parts(monkeypatch):
     suffix._Hasher._tables.clear()
 
 
+def test_shared_segments_travel_as_bytes():
+    """Their strings have the hashes of the text, meet where the first round's do, and take less room than these hashes."""
+    rng = random.Random(4)
+    data = np.frombuffer(prose(rng, 4000).encode() + b"z" * 300, np.uint8)
+    key, _, _, first, n = suffix.segments(data, np.array([len(data)]))
+    anchor, rows = suffix._windows(data, first, n, 50, 20)
+    assert (anchor >> suffix._POS_BITS).tolist() == (key >> suffix._POS_BITS).tolist()
+    blob = suffix._segments_packed(anchor, np.full(len(n), 7, np.int64), first, n, rows)
+    got = [np.concatenate(c) for c in zip(*suffix._strings(blob, 50, 20), strict=True)]
+    b = np.arange(len(data) - 49)
+    assert got[3].tolist() == b.tolist() and set(got[2].tolist()) == {7} and set(got[4].tolist()) == {1}
+    assert (got[0] == suffix._Hasher(data, 0).of(b, b + 50)).all()
+    assert (got[1] == suffix._Hasher(data, 1).of(b, b + 50) >> np.uint64(32)).all()
+    assert len(blob) < len(suffix._records(*got)) / 3
+
+
+def test_stage_table_frees_its_shuffle(spark):
+    """At the end of the write, not when the driver collects garbage; the table it was made from can still be used."""
+    import time
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, settings = files(), spark.conf.get(common._CLEANUP)
+    df = spark.range(20_000).repartition(5, "id")
+    out = common.stage_table(df, "frees")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(common._CLEANUP) == settings
+    assert out.count() == df.count() == 20_000
+
+
 # ---- pipeline
 
 
